@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,7 @@ def impute_median(long: DataFrame, group_cols: Sequence[str] = ("feature",)) ->
     The median table has one row per feature (catalogue-bounded), so it is
     broadcast.
     """
+    long = long.persist(StorageLevel.MEMORY_AND_DISK)  # read by the median pass and the fill
     med = exact_median(long, list(group_cols), "value", alias="_median")
     return (
         long.join(F.broadcast(med), list(group_cols), "left")
@@ -106,13 +108,21 @@ def impute_median(long: DataFrame, group_cols: Sequence[str] = ("feature",)) ->
 
 
 def vital_features(readings: DataFrame, vitals: Sequence[str], records: DataFrame | None = None,
-                   impute: bool = True) -> DataFrame:
-    """The vital part of A9, long: ``(record_id, feature, value)``."""
+                   impute: bool = True, split_col: str | None = None) -> DataFrame:
+    """The vital part of A9, long: ``(record_id, feature, value)``.
+
+    With ``split_col`` (a column of ``records``) each split is imputed from
+    its own medians, and the split is kept as a column.
+    """
     if records is None:
         records = readings.select("record_id").distinct()
     cells = clean_cells(readings)
-    long = to_long(vital_aggregates(cells, records, vitals))
-    return impute_median(long) if impute else long
+    long = to_long(vital_aggregates(cells, records.select("record_id"), vitals))
+    if split_col:
+        long = long.join(records.select("record_id", split_col), "record_id", "inner")
+    if not impute:
+        return long
+    return impute_median(long, [split_col, "feature"] if split_col else ["feature"])
 
 
 # ---------------------------------------------------------------------------
@@ -133,35 +143,42 @@ def descriptor_rows(cells: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def impute_biometrics(rows: DataFrame, records: DataFrame, continuous: Sequence[str] = catalog.CONTINUOUS_BIOMETRICS,
-                      mode_col: str | None = "Gender", category_col: str | None = "ICUType") -> DataFrame:
+                      mode_col: str | None = "Gender", group_cols: Sequence[str] = ()) -> DataFrame:
     """I2 + I3 + D1: one row per record from its first time row after filling.
 
     Continuous biometrics are filled with the exact median over *time rows*
-    (not records), the mode column with the smallest mode; then the earliest
-    time row of each record is taken (a record whose first Weight is missing
-    gets the median even when a later Weight exists). Records that have no
-    descriptor row at all keep NULLs.
+    (not records) of the same group (split), the mode column with the
+    smallest mode; then the earliest time row of each record is taken (a
+    record whose first Weight is missing gets the median even when a later
+    Weight exists). Records without any time row keep NULLs. The fill tables
+    hold one row per group and are broadcast.
     """
+    groups = list(group_cols)
+    if not groups:
+        rows = rows.withColumn("_g", F.lit(0))
+        groups = ["_g"]
     cols = [c for c in continuous if c in rows.columns]
     filled = rows
     if cols:
         stacked = rows.select(
-            F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in cols])).alias("kv")
-        ).select("kv.name", "kv.v")
-        # One value per biometric: a bounded summary, applied as literals.
-        meds = {r["name"]: r["m"] for r in exact_median(stacked, ["name"], "v", alias="m").collect()}
+            *groups,
+            F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in cols])).alias("kv"),
+        ).select(*groups, "kv.name", "kv.v")
+        meds = exact_median(stacked, [*groups, "name"], "v", alias="m")
+        wide = meds.groupBy(*groups).agg(*[F.max(F.when(F.col("name") == c, F.col("m"))).alias(f"_m_{c}") for c in cols])
+        filled = filled.join(F.broadcast(wide), groups, "left")
         for c in cols:
-            if meds.get(c) is not None:
-                filled = filled.withColumn(c, F.coalesce(F.col(c), F.lit(float(meds[c]))))
+            filled = filled.withColumn(c, F.coalesce(F.col(c), F.col(f"_m_{c}"))).drop(f"_m_{c}")
     if mode_col and mode_col in rows.columns:
-        mode = exact_mode(rows, [], mode_col, alias="m").collect()
-        if mode and mode[0]["m"] is not None:
-            filled = filled.withColumn(mode_col, F.coalesce(F.col(mode_col), F.lit(float(mode[0]["m"]))))
-    keep = [c for c in rows.columns if c not in ("record_id", "t")]
+        mode = exact_mode(rows, groups, mode_col, alias="_mode")
+        filled = filled.join(F.broadcast(mode), groups, "left").withColumn(
+            mode_col, F.coalesce(F.col(mode_col), F.col("_mode"))
+        ).drop("_mode")
+    keep = [c for c in rows.columns if c not in ("record_id", "t", "_g", *group_cols)]
     first = filled.groupBy("record_id").agg(
         F.min_by(F.struct(*[F.col(c) for c in keep]), F.col("t")).alias("r")
     ).select("record_id", *[F.col(f"r.{c}").alias(c) for c in keep])
-    return records.select("record_id").join(first, "record_id", "left")
+    return records.join(first, "record_id", "left")
 
 
 def icu_one_hot(first_rows: DataFrame, col: str = "ICUType", categories=catalog.ICU_TYPES,
@@ -185,13 +202,13 @@ def feature_index(names: Sequence[str]) -> dict[str, int]:
     return {n: i for i, n in enumerate(sorted(names))}
 
 
-def to_matrix(long: DataFrame, names: Sequence[str]) -> DataFrame:
+def to_matrix(long: DataFrame, names: Sequence[str], id_cols: Sequence[str] = ("record_id",)) -> DataFrame:
     """R2: long features -> one row per record, columns in sorted name order.
 
     ``pivot`` with declared values needs no extra job to discover them.
     """
     ordered = sorted(names)
-    return long.groupBy("record_id").pivot("feature", ordered).agg(F.first("value"))
+    return long.groupBy(*id_cols).pivot("feature", ordered).agg(F.first("value"))
 
 
 def to_vector(long: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -238,3 +255,32 @@ def row_number_first(df: DataFrame, key: str, time_col: str) -> DataFrame:
     """The same as :func:`first_by_time` written as a window (for comparison)."""
     w = Window.partitionBy(key).orderBy(time_col)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+DESCRIPTOR_NAMES = ("Age", "Gender", "Height", "ICUType", "Weight")
+
+
+def build_features(readings: DataFrame, records: DataFrame, vitals: Sequence[str],
+                   split_col: str = "split", biometrics: Sequence[str] = catalog.BIOMETRICS,
+                   category_col: str = "ICUType", categories=catalog.ICU_TYPES) -> DataFrame:
+    """The whole feature table, long ``(record_id, split, feature, value)``.
+
+    ``readings`` holds vitals and descriptors; ``records`` is ``(record_id,
+    split)``. Vital features are imputed per split from that split's medians;
+    biometrics are filled per split over time rows; the category is one-hot
+    encoded from each record's first time row.
+    """
+    cells = clean_cells(readings).persist(StorageLevel.MEMORY_AND_DISK)  # vitals and descriptors
+    vit = vital_features_from_cells(cells, records, vitals, split_col)
+    names = [n for n in DESCRIPTOR_NAMES if n in set(biometrics) | {category_col}]
+    rows = descriptor_rows(cells, names).join(records.select("record_id", split_col), "record_id", "inner")
+    first = impute_biometrics(rows, records.select("record_id", split_col), group_cols=[split_col])
+    desc = descriptor_features(first, biometrics, category_col, categories, category_col)
+    desc = desc.join(records.select("record_id", split_col), "record_id", "inner")
+    return vit.unionByName(desc)
+
+
+def vital_features_from_cells(cells: DataFrame, records: DataFrame, vitals: Sequence[str], split_col: str) -> DataFrame:
+    long = to_long(vital_aggregates(cells, records.select("record_id"), vitals))
+    long = long.join(records.select("record_id", split_col), "record_id", "inner")
+    return impute_median(long, [split_col, "feature"])

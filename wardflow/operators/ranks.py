@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,10 +134,12 @@ def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, alias
     Distributed: a value histogram, G1 running counts over it, then the one or
     two middle values per group. No group is ever held in one buffer.
     """
+    # Read three times (edges, bucket sums, rows): kept, spilling to disk if large.
     hist = (
         df.where(F.col(value_col).isNotNull())
         .groupBy(*group_cols, value_col)
         .agg(F.count(F.lit(1)).alias("_n"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     rt = running_totals(hist, value_col, ["_n"], partition_cols=group_cols)
     n = F.col("total__n")
