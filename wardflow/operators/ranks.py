@@ -2,11 +2,14 @@
 
 Spark plans ``Window.orderBy(...)`` without ``partitionBy`` as one task over all
 rows, and ``percentile`` keeps every distinct value of a group in one buffer.
-Both break when a group is large. Here a global order is cut into range
-buckets whose edges come from one ``percentile_approx`` pass (so every bucket
-holds about the same number of rows, whatever the value distribution). Each
-bucket is sorted on its own; a tiny table of per-bucket sums (partitions x
-buckets rows, size checked) supplies the running offset of every bucket.
+Both break when a group is large. Here a partition larger than a row bound
+("hot") is cut into range buckets whose edges come from one
+``percentile_approx`` pass over the hot partitions only (so every bucket holds
+about the bound, whatever the value distribution). Each bucket is sorted on
+its own; a small table of per-bucket sums (hot partitions x buckets rows, size
+checked) supplies the running offset of every bucket. Partitions under the
+bound are plain window partitions, so millions of small groups cost nothing
+extra.
 
 The order key must be (near) unique inside a partition: aggregate to distinct
 keys first (a histogram), or add a tie-breaker via ``tie_cols``.
@@ -20,27 +23,42 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound on (partitions x buckets) kept in the broadcast offset table.
+# Upper bound on (hot partitions x buckets) kept in the broadcast offset table.
 MAX_OFFSET_ROWS = 2_000_000
+# Rows up to which one partition is sorted whole in one task (config: wardflow.g1.bucketRows).
+BUCKET_ROWS_CONF = "wardflow.g1.bucketRows"
+DEFAULT_BUCKET_ROWS = 2_000_000
+MAX_BUCKETS = 4096
 
 
-def default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(n, 4096))
+def bucket_rows(spark) -> int:
+    return int(spark.conf.get(BUCKET_ROWS_CONF, str(DEFAULT_BUCKET_ROWS)))
 
 
-def _edges(df, parts, order_col, buckets, accuracy):
+def _hot_edges(df, parts, order_col, limit):
+    """Range-bucket edges for partitions holding more than ``limit`` rows.
+
+    The hot list is bounded by total rows / limit and checked before use.
+    """
+    counts = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_cnt")).where(F.col("_cnt") > limit)
+    hot = counts.limit(MAX_OFFSET_ROWS + 1).collect()
+    if not hot:
+        return []
+    biggest = max(r["_cnt"] for r in hot)
+    buckets = int(min(MAX_BUCKETS, max(2, -(-biggest // max(limit, 1)))))
+    if len(hot) * buckets > MAX_OFFSET_ROWS:
+        raise ValueError(f"running_totals: {len(hot)} hot partitions x {buckets} buckets exceeds {MAX_OFFSET_ROWS}")
+    spark = df.sparkSession
+    schema = ", ".join(f"`{p}` {df.schema[p].dataType.simpleString()}" for p in parts)
+    hot_df = spark.createDataFrame([tuple(r[p] for p in parts) for r in hot], schema)
     qs = [i / buckets for i in range(1, buckets)]
+    accuracy = max(10000, 20 * buckets)
     rows = (
-        df.where(F.col(order_col).isNotNull())
+        df.join(F.broadcast(hot_df), parts, "left_semi")
         .groupBy(*parts)
         .agg(F.percentile_approx(F.col(order_col).cast("double"), qs, accuracy).alias("_edges"))
         .collect()
     )
-    if len(rows) * buckets > MAX_OFFSET_ROWS:
-        raise ValueError(
-            f"running_totals: {len(rows)} partitions x {buckets} buckets exceeds {MAX_OFFSET_ROWS}"
-        )
     out = []
     for r in rows:
         e = sorted(set(x for x in (r["_edges"] or []) if x is not None))
@@ -55,12 +73,17 @@ def running_totals(
     partition_cols: Sequence[str] = (),
     tie_cols: Sequence[str] = (),
     descending: bool = False,
-    buckets: int | None = None,
-    accuracy: int | None = None,
+    max_cols: Sequence[str] = (),
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
-    """Add ``cum_<c>`` (inclusive running sum of ``c`` in key order) and
-    ``total_<c>`` (sum over the partition) for every ``c`` in ``sum_cols``.
-
+    """Add ``cum_<c>`` (inclusive running sum in key order) and ``total_<c>``
+    (sum over the partition) for every ``c`` in ``sum_cols``, and
+    ``runmax_<c>`` (inclusive running max) for every ``c`` in ``max_cols``.
+
+    A partition of at most ``rows_per_bucket`` rows is one window partition.
+    A larger ("hot") partition is cut into range buckets on the order key;
+    buckets are sorted on their own and shifted by the sums/maxima of the
+    buckets before them (a broadcast table of hot partitions x buckets rows).
     Rows with a NULL order key are dropped. ``descending`` sorts the key high
     to low (ties on ``tie_cols`` still ascend).
     """
@@ -69,46 +92,61 @@ def running_totals(
     if not parts:
         df = df.withColumn("_g", F.lit(0))
         parts = ["_g"]
-    buckets = buckets or default_buckets(df)
-    accuracy = accuracy or max(10000, 20 * buckets)
+    limit = rows_per_bucket if rows_per_bucket is not None else bucket_rows(spark)
     df = df.where(F.col(order_col).isNotNull())
 
-    edge_rows = _edges(df, parts, order_col, buckets, accuracy)
+    edge_rows = _hot_edges(df, parts, order_col, limit)
+    key = F.col(order_col).cast("double")
+    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    within = (
+        Window.partitionBy(*parts, "_b")
+        .orderBy(o, *[F.col(t).asc() for t in tie_cols])
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    whole_bucket = Window.partitionBy(*parts, "_b")
+    keep = [c for c in df.columns if c != "_g" or partition_cols]
+
+    if not edge_rows:
+        # No hot partition: every partition is one window partition.
+        x = df.withColumn("_b", F.lit(0))
+        return x.select(
+            *keep,
+            *[F.sum(c).over(within).alias(f"cum_{c}") for c in sum_cols],
+            *[F.sum(c).over(whole_bucket).alias(f"total_{c}") for c in sum_cols],
+            *[F.max(c).over(within).alias(f"runmax_{c}") for c in max_cols],
+        )
+
     schema = ", ".join(f"`{p}` {df.schema[p].dataType.simpleString()}" for p in parts)
     edges = spark.createDataFrame(edge_rows, f"{schema}, `_edges` array<double>")
-
-    key = F.col(order_col).cast("double")
-    # bucket = number of edges strictly below the key (pure expression).
-    bucket = F.size(F.filter(F.col("_edges"), lambda e: e < key))
     if descending:
         bucket = F.size(F.col("_edges")) - F.size(F.filter(F.col("_edges"), lambda e: e <= key))
-    x = df.join(F.broadcast(edges), parts, "inner").withColumn("_b", bucket).drop("_edges")
-
-    sums = x.groupBy(*parts, "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in sum_cols])
+    else:
+        bucket = F.size(F.filter(F.col("_edges"), lambda e: e < key))
+    x = (
+        df.join(F.broadcast(edges), parts, "left")
+        .withColumn("_b", F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(bucket))
+        .withColumn("_hot", F.col("_edges").isNotNull())
+        .drop("_edges")
+    )
+    # Offsets of hot partitions only: bounded by hot partitions x buckets.
+    sums = x.where("_hot").groupBy(*parts, "_b").agg(
+        *[F.sum(c).alias(f"_s_{c}") for c in sum_cols], *[F.max(c).alias(f"_m_{c}") for c in max_cols]
+    )
     before = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parts)
     offs = sums.select(
-        *parts,
-        "_b",
+        *parts, "_b",
         *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
-        *[F.sum(f"_s_{c}").over(whole).alias(f"total_{c}") for c in sum_cols],
-    )
-
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    within = (
-        Window.partitionBy(*parts, "_b")
-        .orderBy(o, *[F.col(t).asc() for t in tie_cols])
-        .rowsBetween(Window.unboundedPreceding, 0)
+        *[F.sum(f"_s_{c}").over(whole).alias(f"_t_{c}") for c in sum_cols],
+        *[F.max(f"_m_{c}").over(before).alias(f"_p_{c}") for c in max_cols],
     )
-    out = x.join(F.broadcast(offs), [*parts, "_b"], "inner")
-    out = out.select(
-        *[c for c in x.columns if c not in ("_b",)],
-        *[(F.col(f"_o_{c}") + F.sum(c).over(within)).alias(f"cum_{c}") for c in sum_cols],
-        *[F.col(f"total_{c}") for c in sum_cols],
+    out = x.join(F.broadcast(offs), [*parts, "_b"], "left")
+    return out.select(
+        *keep,
+        *[(F.coalesce(F.col(f"_o_{c}"), F.lit(0)) + F.sum(c).over(within)).alias(f"cum_{c}") for c in sum_cols],
+        *[F.coalesce(F.col(f"_t_{c}"), F.sum(c).over(whole_bucket)).alias(f"total_{c}") for c in sum_cols],
+        *[F.greatest(F.col(f"_p_{c}"), F.max(c).over(within)).alias(f"runmax_{c}") for c in max_cols],
     )
-    if "_g" in out.columns and not partition_cols:
-        out = out.drop("_g")
-    return out
 
 
 def row_ranks(
@@ -117,13 +155,13 @@ def row_ranks(
     tie_cols: Sequence[str] = (),
     partition_cols: Sequence[str] = (),
     descending: bool = False,
-    buckets: int | None = None,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Add ``rank`` (1-based row number in (order_col, tie_cols) order) and ``n``."""
     x = df.withColumn("_one", F.lit(1).cast("long"))
     out = running_totals(
         x, order_col, ["_one"], partition_cols=partition_cols, tie_cols=tie_cols,
-        descending=descending, buckets=buckets,
+        descending=descending, rows_per_bucket=rows_per_bucket,
     )
     return out.withColumnRenamed("cum__one", "rank").withColumnRenamed("total__one", "n").drop("_one")
 
@@ -134,7 +172,7 @@ def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, alias
     Distributed: a value histogram, G1 running counts over it, then the one or
     two middle values per group. No group is ever held in one buffer.
     """
-    # Read three times (edges, bucket sums, rows): kept, spilling to disk if large.
+    # Read up to three times (hot check, edges, rows): kept, spilling to disk if large.
     hist = (
         df.where(F.col(value_col).isNotNull())
         .groupBy(*group_cols, value_col)
