@@ -226,11 +226,15 @@ def choice_rows() -> list[tuple]:
 
 def catalog_frame(spark: SparkSession) -> DataFrame:
     """41-row field catalogue (fixed size: safe to broadcast)."""
-    return spark.createDataFrame(catalog_rows(), CATALOG_SCHEMA)
+    from wardflow.session import local_frame
+
+    return local_frame(spark, catalog_rows(), CATALOG_SCHEMA)
 
 
 def choice_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(choice_rows(), CHOICE_SCHEMA)
+    from wardflow.session import local_frame
+
+    return local_frame(spark, choice_rows(), CHOICE_SCHEMA)
 
 
 def feature_names(vitals=VITALS, icu_types=ICU_TYPES, biometrics=BIOMETRICS) -> list[str]:

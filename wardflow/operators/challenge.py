@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wardflow import catalog
 from wardflow.operators.ranks import row_ranks, running_totals
+from wardflow.session import local_frame
 
 
 def alignment_report(left: DataFrame, right: DataFrame, key: str = "record_id",
@@ -132,5 +133,5 @@ def challenge_scores(scored: DataFrame) -> DataFrame:
 def comparison_table(scores: DataFrame) -> DataFrame:
     """Own scores plus the published rows (model, event1, event2)."""
     spark = scores.sparkSession
-    pub = spark.createDataFrame(list(catalog.PUBLISHED_SCORES), "model string, event1 double, event2 double")
+    pub = local_frame(spark, list(catalog.PUBLISHED_SCORES), "model string, event1 double, event2 double")
     return scores.select("model", "event1", "event2").unionByName(pub)

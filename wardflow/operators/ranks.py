@@ -23,6 +23,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardflow.session import local_frame
+
 # Upper bound on (hot partitions x buckets) kept in the broadcast offset table.
 MAX_OFFSET_ROWS = 2_000_000
 # Rows up to which one partition is sorted whole in one task (config: wardflow.g1.bucketRows).
@@ -50,7 +52,7 @@ def _hot_edges(df, parts, order_col, limit):
         raise ValueError(f"running_totals: {len(hot)} hot partitions x {buckets} buckets exceeds {MAX_OFFSET_ROWS}")
     spark = df.sparkSession
     schema = ", ".join(f"`{p}` {df.schema[p].dataType.simpleString()}" for p in parts)
-    hot_df = spark.createDataFrame([tuple(r[p] for p in parts) for r in hot], schema)
+    hot_df = local_frame(spark, [tuple(r[p] for p in parts) for r in hot], schema)
     qs = [i / buckets for i in range(1, buckets)]
     accuracy = max(10000, 20 * buckets)
     rows = (
@@ -117,7 +119,7 @@ def running_totals(
         )
 
     schema = ", ".join(f"`{p}` {df.schema[p].dataType.simpleString()}" for p in parts)
-    edges = spark.createDataFrame(edge_rows, f"{schema}, `_edges` array<double>")
+    edges = local_frame(spark, edge_rows, f"{schema}, `_edges` array<double>")
     if descending:
         bucket = F.size(F.col("_edges")) - F.size(F.filter(F.col("_edges"), lambda e: e <= key))
     else:

@@ -52,3 +52,49 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (for sinks and stream state)."""
     base = spark.conf.get(CHECKPOINT_CONF, None) or checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+INLINE_MAX_ROWS = 5000
+
+
+def _sql_literal(v, dt) -> str:
+    from pyspark.sql import types as T
+
+    if v is None:
+        return f"CAST(NULL AS {dt.simpleString()})"
+    if isinstance(dt, T.ArrayType):
+        inner = ", ".join(_sql_literal(x, dt.elementType) for x in v)
+        return f"CAST(array({inner}) AS {dt.simpleString()})"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, float):
+        if v != v or v in (float("inf"), float("-inf")):
+            return f"CAST('{v!r}' AS DOUBLE)"
+        return f"CAST({v!r}D AS {dt.simpleString()})"
+    if isinstance(v, int):
+        return f"CAST({v} AS {dt.simpleString()})"
+    text = str(v).replace("\\", "\\\\").replace("'", "\\'")
+    return f"CAST('{text}' AS {dt.simpleString()})"
+
+
+def local_frame(spark: SparkSession, rows, schema):
+    """A small constant table kept JVM-side: one SQL ``VALUES`` text (a LocalRelation,
+    no Python worker, one driver round trip). Larger inputs use ``createDataFrame``.
+    """
+    from pyspark.sql import types as T
+
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    rows = list(rows)
+    if len(rows) > INLINE_MAX_ROWS:
+        return spark.createDataFrame(rows, schema)
+    names = [f"`{f.name}`" for f in schema.fields]
+    if not rows:
+        cols = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {n}" for f, n in zip(schema.fields, names))
+        return spark.sql(f"SELECT {cols} WHERE FALSE")
+    body = ", ".join(
+        "(" + ", ".join(_sql_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")" for r in rows
+    )
+    aliases = ", ".join(f"c{i}" for i in range(len(names)))
+    proj = ", ".join(f"c{i} AS {n}" for i, n in enumerate(names))
+    return spark.sql(f"SELECT {proj} FROM VALUES {body} AS t({aliases})")

@@ -119,3 +119,78 @@ def order_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_labels(spark: SparkSession, sf_dir: str, column: str = "toxic") -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_id"), F.col(column).alias("label"))
+
+
+# Fixed values of the answers recipe: raw texts offered to the three choice fields.
+CHOICE_VARIANTS = {
+    "gender": ("male", " MALE ", "female", "other", "x"),
+    "icu_type": ("3: Medical ICU", "3", "1", "2: cardiac surgery recovery unit", "x"),
+    "mechvent": ("0", "1", " 1", "yes", ""),
+}
+# Row j of an order: 0-8 the required fields, 9-10 two optional ones, 20/30 restarts.
+ANSWER_SLOTS = 64
+
+
+def answer_items():
+    """(j, kind) of the rows each order expands to."""
+    req = [(j, "required") for j in range(len(catalog.REQUIRED_FIELDS))]
+    return req + [(9, "opt_a"), (10, "opt_b"), (20, "restart_required"), (30, "restart_optional")]
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intake answers from ``orders``: every order submits the 9 required fields and two
+    optional ones of its customer's session, some orders restart a section, and
+    bad values are planted by key modulus (not a number, not an integer, below
+    min, above max, unknown choice)."""
+    o = table(spark, sf_dir, "orders")
+    opt = F.array(*[F.lit(f) for f in catalog.OPTIONAL_FIELDS])
+    n_opt = len(catalog.OPTIONAL_FIELDS)
+    k = F.col("o_orderkey")
+    items = []
+    for j, kind in answer_items():
+        if kind == "required":
+            field, action, section = F.lit(catalog.REQUIRED_FIELDS[j]), F.lit("submit"), F.lit(None).cast("string")
+        elif kind == "opt_a":
+            field, action, section = F.element_at(opt, (F.pmod(k, F.lit(n_opt)) + 1).cast("int")), F.lit("submit"), F.lit(None).cast("string")
+        elif kind == "opt_b":
+            field, action, section = F.element_at(opt, (F.pmod(k * 3 + 1, F.lit(n_opt)) + 1).cast("int")), F.lit("submit"), F.lit(None).cast("string")
+        elif kind == "restart_required":
+            field, action, section = F.lit(None).cast("string"), F.when(F.pmod(k, F.lit(9)) == 0, F.lit("restart")), F.lit("required")
+        else:
+            field, action, section = F.lit(None).cast("string"), F.when(F.pmod(k, F.lit(13)) == 0, F.lit("restart")), F.lit("optional")
+        items.append(F.struct(F.lit(j).alias("j"), field.alias("field"), action.alias("action"), section.alias("section")))
+    rows = o.select("o_orderkey", "o_custkey", F.explode(F.array(*items)).alias("it")).select(
+        "o_orderkey", "o_custkey", "it.*").where(F.col("action").isNotNull())
+    cat = F.broadcast(catalog.catalog_frame(spark).select("field", "type", F.col("section").alias("_sec"), "median"))
+    rows = rows.join(cat, "field", "left")
+
+    key = F.col("o_orderkey") + F.col("j")
+
+    def hit(m):
+        return F.pmod(key, F.lit(m)) == 0
+
+    mult = F.when(hit(23), F.lit(1000)).otherwise(F.lit(1)).cast("long")
+    kk = F.pmod(F.col("o_orderkey") * (F.col("j") + 3), F.lit(101))
+    cents = F.round(F.col("median") * (F.lit(50) + kk), 0).cast("long") * mult
+    iv = F.expr("div(_cents + 50, 100)")
+    rows = rows.withColumn("_cents", cents)
+    int_text = F.when(hit(13), F.format_string("%d.5", iv)).otherwise(F.format_string("%d", iv))
+    float_text = F.format_string("%d.%02d", F.expr("div(_cents, 100)"), F.pmod(F.col("_cents"), F.lit(100)))
+    num_text = F.concat(F.when(hit(19), F.lit("-")).otherwise(F.lit("")),
+                        F.when(F.col("type") == "int", int_text).otherwise(float_text))
+    choice = F.lit(None).cast("string")
+    for name, variants in CHOICE_VARIANTS.items():
+        arr = F.array(*[F.lit(v) for v in variants])
+        choice = F.when(F.col("field") == name, F.element_at(arr, (F.pmod(key, F.lit(len(variants))) + 1).cast("int"))).otherwise(choice)
+    raw = (
+        F.when(F.col("action") == "restart", F.lit(None).cast("string"))
+        .when(F.col("type") == "choice", choice)
+        .when(hit(17), F.lit("n/a"))
+        .otherwise(num_text)
+    )
+    return rows.select(
+        F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("session_id"),
+        (F.col("o_orderkey") * ANSWER_SLOTS + F.col("j")).cast("long").alias("seq"),
+        F.coalesce(F.col("section"), F.col("_sec")).alias("section"),
+        "action", "field", raw.alias("raw_value"),
+    )
