@@ -9,6 +9,7 @@ whole.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,6 +125,8 @@ def session_state(validated: DataFrame, gate_optional: bool = True) -> DataFrame
     Output: ``(session_id, field, section, value, number, seq)``.
     """
     spark = validated.sparkSession
+    # Read by the submissions, the restart marks and the restart rows.
+    validated = validated.persist(StorageLevel.MEMORY_AND_DISK)
     subs = validated.where((F.col("action") == "submit") & F.col("ok")).select(
         "session_id", "seq", "section", "action", "field", "value", "number"
     )
@@ -140,7 +143,7 @@ def session_state(validated: DataFrame, gate_optional: bool = True) -> DataFrame
     rt = running_totals(u, "seq", [], partition_cols=["session_id"], max_cols=["_mark"])
     rows = rt.where(F.col("action") == "submit").withColumn(
         "_epoch", F.coalesce(F.col("runmax__mark"), F.lit(-1.0))
-    ).drop("_mark", "runmax__mark")
+    ).drop("_mark", "runmax__mark").persist(StorageLevel.MEMORY_AND_DISK)  # read by both sections
 
     req = rows.where(F.col("section") == "required")
     firsts = req.groupBy("session_id", "_epoch", "field").agg(F.min("seq").alias("_first"))
