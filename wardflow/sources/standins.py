@@ -142,7 +142,11 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     optional ones of its customer's session, some orders restart a section, and
     bad values are planted by key modulus (not a number, not an integer, below
     min, above max, unknown choice)."""
-    o = table(spark, sf_dir, "orders")
+    return answers_from_orders(spark, table(spark, sf_dir, "orders"))
+
+
+def answers_from_orders(spark: SparkSession, o: DataFrame) -> DataFrame:
+    """The answers recipe over any ``orders`` frame (a table or a stream)."""
     opt = F.array(*[F.lit(f) for f in catalog.OPTIONAL_FIELDS])
     n_opt = len(catalog.OPTIONAL_FIELDS)
     k = F.col("o_orderkey")
