@@ -100,10 +100,11 @@ def impute_median(long: DataFrame, group_cols: Sequence[str] = ("feature",)) ->
     """
     long = long.persist(StorageLevel.MEMORY_AND_DISK)  # read by the median pass and the fill
     med = exact_median(long, list(group_cols), "value", alias="_median")
+    cols = long.columns
     return (
         long.join(F.broadcast(med), list(group_cols), "left")
         .withColumn("value", F.coalesce(F.col("value"), F.col("_median")))
-        .drop("_median")
+        .select(*cols)
     )
 
 

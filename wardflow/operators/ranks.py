@@ -91,11 +91,10 @@ def running_totals(
     """
     spark = df.sparkSession
     parts = list(partition_cols)
-    if not parts:
-        df = df.withColumn("_g", F.lit(0))
-        parts = ["_g"]
     limit = rows_per_bucket if rows_per_bucket is not None else bucket_rows(spark)
     df = df.where(F.col(order_col).isNotNull())
+    if not parts:
+        return _running_totals_global(df, order_col, sum_cols, tie_cols, descending, max_cols, limit)
 
     edge_rows = _hot_edges(df, parts, order_col, limit)
     key = F.col(order_col).cast("double")
@@ -106,7 +105,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     whole_bucket = Window.partitionBy(*parts, "_b")
-    keep = [c for c in df.columns if c != "_g" or partition_cols]
+    keep = list(df.columns)
 
     if not edge_rows:
         # No hot partition: every partition is one window partition.
@@ -151,6 +150,61 @@ def running_totals(
     )
 
 
+def _running_totals_global(df, order_col, sum_cols, tie_cols, descending, max_cols, limit):
+    """running_totals over the whole frame (no partition columns).
+
+    Up to ``limit`` rows: one window partition. Beyond it: range buckets from
+    ``approxQuantile``; per-bucket sums/maxima (one row per bucket) come back
+    as literal maps, so there is neither a join nor a single-partition step.
+    """
+    key = F.col(order_col).cast("double")
+    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    n = df.count()
+    buckets = int(min(MAX_BUCKETS, max(1, -(-n // max(limit, 1)))))
+    if buckets <= 1:
+        w = Window.orderBy(o, *[F.col(t).asc() for t in tie_cols]).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy()
+        return df.select(
+            *df.columns,
+            *[F.sum(c).over(w).alias(f"cum_{c}") for c in sum_cols],
+            *[F.sum(c).over(whole).alias(f"total_{c}") for c in sum_cols],
+            *[F.max(c).over(w).alias(f"runmax_{c}") for c in max_cols],
+        )
+    qs = [i / buckets for i in range(1, buckets)]
+    raw = df.select(key.alias("_k")).approxQuantile("_k", qs, 1.0 / max(10000, 20 * buckets))
+    edges = F.array(*[F.lit(float(e)) for e in sorted(set(raw))])
+    if descending:
+        bucket = F.size(edges) - F.size(F.filter(edges, lambda e: e <= key))
+    else:
+        bucket = F.size(F.filter(edges, lambda e: e < key))
+    x = df.withColumn("_b", bucket)
+    sums = x.groupBy("_b").agg(
+        *[F.sum(c).alias(f"s_{c}") for c in sum_cols], *[F.max(c).alias(f"m_{c}") for c in max_cols]
+    ).collect()  # one row per bucket
+    sums = sorted(sums, key=lambda r: r["_b"])
+    within = (
+        Window.partitionBy("_b").orderBy(o, *[F.col(t).asc() for t in tie_cols])
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    out = [*df.columns]
+    for c in sum_cols:
+        acc, offs = 0, {}
+        for r in sums:
+            offs[r["_b"]] = acc
+            acc += r[f"s_{c}"] or 0
+        m = F.create_map(*[v for b, o_ in offs.items() for v in (F.lit(b), F.lit(o_))])
+        out += [(m[F.col("_b")] + F.sum(c).over(within)).alias(f"cum_{c}"), F.lit(acc).alias(f"total_{c}")]
+    for c in max_cols:
+        best, prev = None, {}
+        for r in sums:
+            prev[r["_b"]] = best
+            v = r[f"m_{c}"]
+            best = v if best is None else (best if v is None else max(best, v))
+        m = F.create_map(*[v for b, p_ in prev.items() for v in (F.lit(b), F.lit(p_))])
+        out.append(F.greatest(m[F.col("_b")], F.max(c).over(within)).alias(f"runmax_{c}"))
+    return x.select(*out)
+
+
 def row_ranks(
     df: DataFrame,
     order_col: str,
