@@ -48,12 +48,14 @@ def validate(answers: DataFrame, spark: SparkSession | None = None) -> DataFrame
     choices = F.broadcast(catalog.choice_frame(spark))
     a = answers.join(cat, "field", "left")
     lowered = F.lower(F.trim(F.col("raw_value")))
-    a = a.withColumn("_key", lowered).join(
+    # The parsed number is used by every check: computed once as a column.
+    a = a.withColumn("_key", lowered).withColumn("_num", safe_float("raw_value"))
+    a = a.join(
         choices, (choices["field"] == a["field"]) & (choices["choice_key"] == F.col("_key")), "left"
     ).drop(choices["field"]).drop("choice_key")
 
     typ = F.col("_type")
-    num = safe_float("raw_value")
+    num = F.col("_num")
     is_num = typ.isin("int", "float")
     num_msg = (
         F.when(num.isNull(), F.lit(catalog.MSG_NUMERIC))
@@ -302,17 +304,19 @@ def answers_to_features(answers: DataFrame, state: DataFrame, legacy_icu: bool =
     the number (gender via its code), a vital answer is a single reading
     (first = last = max = mean = median = min = value; delta = range = std =
     0; missing = 0). ``legacy_icu=True`` reproduces the observed form where
-    the chosen ICU type never reaches the row. Defaults and overrides are
-    merged with one aggregate (no join).
+    the chosen ICU type never reaches the row.
+
+    Only the overrides are shuffled: they fold into one map per session
+    (at most one entry per model column, so catalogue-bounded), and the
+    default row is expanded after that, next to the map, without a shuffle.
     """
     spark = answers.sparkSession
     defaults = F.array(*[F.struct(F.lit(k).alias("feature"), F.lit(v).alias("value")) for k, v in default_row()])
-    spine = _sessions(answers).select("session_id", F.explode(defaults).alias("d")).select(
-        "session_id", "d.feature", "d.value", F.lit(0).alias("_p"))
     omap = F.broadcast(local_frame(spark, _override_map(legacy_icu), "field string, feature string, kind string"))
-    st = state.select("session_id", "field", "value", "number")
+    st = state.select("session_id", "field", "value", "number").withColumn(
+        "_x", F.coalesce(F.col("number"), safe_float("value")))
     j = st.join(omap, "field", "inner")
-    x = F.coalesce(F.col("number"), safe_float("value"))
+    x = F.col("_x")
     icu = x.cast("int")
     kind = F.col("kind")
     val = (
@@ -327,9 +331,12 @@ def answers_to_features(answers: DataFrame, state: DataFrame, legacy_icu: bool =
                      F.when(F.concat(F.lit("onehot:"), icu.cast("string"), F.lit(".0")) == kind, F.lit(1.0))
                      .otherwise(F.lit(0.0))))
     )
-    over = j.select("session_id", "feature", val.alias("value"), F.lit(1).alias("_p")).where(F.col("value").isNotNull())
-    return spine.unionByName(over).groupBy("session_id", "feature").agg(
-        F.max_by("value", "_p").alias("value")
+    over = j.select("session_id", "feature", val.alias("value")).where(F.col("value").isNotNull())
+    maps = over.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_m"))
+    rows = _sessions(answers).join(maps, "session_id", "left")
+    return rows.select("session_id", F.explode(defaults).alias("d"), "_m").select(
+        "session_id", F.col("d.feature").alias("feature"),
+        F.coalesce(F.col("_m")[F.col("d.feature")], F.col("d.value")).alias("value"),
     )
 
 

@@ -23,6 +23,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # A fused stage whose generated method passes HotSpot's 8000-byte JIT limit runs
+        # interpreted; at this limit Spark splits such stages instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
     checkpoint_dir(spark)

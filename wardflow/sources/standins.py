@@ -24,6 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than task slots.
+
+    A small single-file table scans as one partition; a row-multiplying step
+    after it (an explode into 13 answers per order) would then run in one
+    task. On a cluster input with enough files this is a no-op.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots)
+
+
 def minutes_since_epoch(ts) -> F.Column:
     # Whole minutes since the epoch: micros difference floored (ts >= epoch in the data,
     # and floor keeps it exact before it too).
@@ -93,7 +106,7 @@ def customer_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long ``(model, record_id, label, pred, score)`` for two score formulas over ``orders``."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     label = (F.col("o_orderstatus") == "F").cast("int")
     price = F.col("o_totalprice") / 500000
     scores = {
@@ -142,29 +155,33 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     optional ones of its customer's session, some orders restart a section, and
     bad values are planted by key modulus (not a number, not an integer, below
     min, above max, unknown choice)."""
-    return answers_from_orders(spark, table(spark, sf_dir, "orders"))
+    return answers_from_orders(spark, spread(table(spark, sf_dir, "orders")))
 
 
 def answers_from_orders(spark: SparkSession, o: DataFrame) -> DataFrame:
     """The answers recipe over any ``orders`` frame (a table or a stream)."""
     opt = F.array(*[F.lit(f) for f in catalog.OPTIONAL_FIELDS])
-    n_opt = len(catalog.OPTIONAL_FIELDS)
+    req = F.array(*[F.lit(f) for f in catalog.REQUIRED_FIELDS])
+    n_req, n_opt = len(catalog.REQUIRED_FIELDS), len(catalog.OPTIONAL_FIELDS)
     k = F.col("o_orderkey")
-    items = []
-    for j, kind in answer_items():
-        if kind == "required":
-            field, action, section = F.lit(catalog.REQUIRED_FIELDS[j]), F.lit("submit"), F.lit(None).cast("string")
-        elif kind == "opt_a":
-            field, action, section = F.element_at(opt, (F.pmod(k, F.lit(n_opt)) + 1).cast("int")), F.lit("submit"), F.lit(None).cast("string")
-        elif kind == "opt_b":
-            field, action, section = F.element_at(opt, (F.pmod(k * 3 + 1, F.lit(n_opt)) + 1).cast("int")), F.lit("submit"), F.lit(None).cast("string")
-        elif kind == "restart_required":
-            field, action, section = F.lit(None).cast("string"), F.when(F.pmod(k, F.lit(9)) == 0, F.lit("restart")), F.lit("required")
-        else:
-            field, action, section = F.lit(None).cast("string"), F.when(F.pmod(k, F.lit(13)) == 0, F.lit("restart")), F.lit("optional")
-        items.append(F.struct(F.lit(j).alias("j"), field.alias("field"), action.alias("action"), section.alias("section")))
-    rows = o.select("o_orderkey", "o_custkey", F.explode(F.array(*items)).alias("it")).select(
-        "o_orderkey", "o_custkey", "it.*").where(F.col("action").isNotNull())
+    j = F.col("j")
+    slots = F.array(*[F.lit(x) for x, _ in answer_items()])
+    field = (
+        F.when(j < n_req, F.element_at(req, (j + 1).cast("int")))
+        .when(j == 9, F.element_at(opt, (F.pmod(k, F.lit(n_opt)) + 1).cast("int")))
+        .when(j == 10, F.element_at(opt, (F.pmod(k * 3 + 1, F.lit(n_opt)) + 1).cast("int")))
+    )
+    action = (
+        F.when(j == 20, F.when(F.pmod(k, F.lit(9)) == 0, F.lit("restart")))
+        .when(j == 30, F.when(F.pmod(k, F.lit(13)) == 0, F.lit("restart")))
+        .otherwise(F.lit("submit"))
+    )
+    section = F.when(j == 20, F.lit("required")).when(j == 30, F.lit("optional"))
+    rows = (
+        o.select("o_orderkey", "o_custkey", F.explode(slots).alias("j"))
+        .select("o_orderkey", "o_custkey", "j", field.alias("field"), action.alias("action"), section.alias("section"))
+        .where(F.col("action").isNotNull())
+    )
     cat = F.broadcast(catalog.catalog_frame(spark).select("field", "type", F.col("section").alias("_sec"), "median"))
     rows = rows.join(cat, "field", "left")
 
