@@ -285,3 +285,15 @@ def vital_features_from_cells(cells: DataFrame, records: DataFrame, vitals: Sequ
     long = to_long(vital_aggregates(cells, records.select("record_id"), vitals))
     long = long.join(records.select("record_id", split_col), "record_id", "inner")
     return impute_median(long, [split_col, "feature"])
+
+
+def pivot_readings(readings: DataFrame, parameters: Sequence[str], sentinel: float = catalog.SENTINEL) -> DataFrame:
+    """R1 (wide form): one row per (record, time), one column per declared parameter.
+
+    Duplicates are averaged, then the sentinel is masked. The declared list
+    means no extra job to discover the columns. The pipeline itself stays long
+    (:func:`clean_cells`); this is the per-record table for inspection/export.
+    """
+    r = readings.where(F.col("parameter").isNotNull())
+    wide = r.groupBy("record_id", "t").pivot("parameter", list(parameters)).agg(F.avg("value"))
+    return wide.select("record_id", "t", *[mask_sentinel(F.col(f"`{p}`"), sentinel).alias(p) for p in parameters])

@@ -213,13 +213,32 @@ def row_ranks(
     descending: bool = False,
     rows_per_bucket: int | None = None,
 ) -> DataFrame:
-    """Add ``rank`` (1-based row number in (order_col, tie_cols) order) and ``n``."""
-    x = df.withColumn("_one", F.lit(1).cast("long"))
-    out = running_totals(
-        x, order_col, ["_one"], partition_cols=partition_cols, tie_cols=tie_cols,
-        descending=descending, rows_per_bucket=rows_per_bucket,
-    )
-    return out.withColumnRenamed("cum__one", "rank").withColumnRenamed("total__one", "n").drop("_one")
+    """Add ``rank`` (1-based row number in (order_col, tie_cols) order) and ``n``.
+
+    With a tie-breaker the order is ranked in two levels, so a key value that
+    holds a large share of the rows is still split: distinct keys are ranked
+    on their counts (a histogram), and rows of one key are ranked by the
+    tie-breaker inside their (partition, key) group, where a hot group gets
+    id-range buckets of its own. ``tie_cols`` must make rows unique per key.
+    """
+    parts = list(partition_cols)
+    if not tie_cols:
+        x = df.withColumn("_one", F.lit(1).cast("long"))
+        out = running_totals(x, order_col, ["_one"], partition_cols=parts, descending=descending,
+                             rows_per_bucket=rows_per_bucket)
+        return out.withColumnRenamed("cum__one", "rank").withColumnRenamed("total__one", "n").drop("_one")
+    if len(tie_cols) != 1:
+        raise ValueError("row_ranks: one tie column (unique per key) is supported")
+    tie = tie_cols[0]
+    base = df.where(F.col(order_col).isNotNull())
+    hist = base.groupBy(*parts, order_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    keys = running_totals(hist, order_col, ["_cnt"], partition_cols=parts, descending=descending,
+                          rows_per_bucket=rows_per_bucket).select(
+        *parts, order_col, (F.col("cum__cnt") - F.col("_cnt")).alias("_before"), F.col("total__cnt").alias("n"))
+    inner = running_totals(base.withColumn("_one", F.lit(1).cast("long")), tie, ["_one"],
+                           partition_cols=[*parts, order_col], rows_per_bucket=rows_per_bucket)
+    out = inner.join(keys, [*parts, order_col], "inner")
+    return out.select(*df.columns, (F.col("_before") + F.col("cum__one")).alias("rank"), "n")
 
 
 def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, alias: str = "median") -> DataFrame:

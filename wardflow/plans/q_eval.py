@@ -238,3 +238,14 @@ def predictions_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "predictions")
     rd.write_predictions(scored(spark, sf_dir).where(F.col("model") == "mlp"), path)
     return rd.read_predictions(spark, path)
+
+
+@query("ranked_predictions", S.with_(_SCORED) + """SELECT model, record_id, score,
+  row_number() OVER (PARTITION BY model ORDER BY score, record_id) AS "rank" FROM sc WHERE score IS NOT NULL""")
+def ranked_predictions(spark, sf_dir):
+    """W3 + G1: every row's position in (risk, id) order per model, without a single partition."""
+    from wardflow.operators.ranks import row_ranks
+
+    s = scored(spark, sf_dir).select("model", "record_id", "score")
+    return row_ranks(s, "score", tie_cols=["record_id"], partition_cols=["model"]).select(
+        "model", "record_id", "score", "rank")

@@ -238,3 +238,14 @@ def elapsed_minutes(spark, sf_dir):
     ev = SI.table(spark, sf_dir, "events")
     hhmm = elapsed_hhmm(SI.minutes_since_epoch("ts"))
     return ev.select("event_id", hhmm.alias("hhmm")).select("event_id", "hhmm", to_minutes("hhmm").alias("minutes"))
+
+
+_PIVOT_SQL = S.with_(S.READINGS) + "SELECT record_id, t, " + ", ".join(
+    f"nullif(avg(CASE WHEN parameter = '{p}' THEN value END), -1.0) AS \"{p}\"" for p in SI.EVENT_VITALS
+) + " FROM readings WHERE parameter IS NOT NULL GROUP BY record_id, t"
+
+
+@query("pivot_cells", rounded(_PIVOT_SQL, list(SI.EVENT_VITALS)))
+def pivot_cells(spark, sf_dir):
+    """(record, time) x parameter, duplicates averaged then the sentinel masked."""
+    return stable(fx.pivot_readings(SI.event_readings(spark, sf_dir), SI.EVENT_VITALS))
