@@ -48,3 +48,11 @@ def test_outcomes_and_predictions_roundtrip(spark, tmp_path):
     text = "".join(open(os.path.join(path, f)).read() for f in os.listdir(path) if f.endswith(".csv"))
     assert "2,1,0.9" in text and "record_id" not in text
     assert sorted(tuple(r) for r in rd.read_predictions(spark, path).collect()) == [(1, 0, 0.1), (2, 1, 0.9)]
+
+
+def test_compact_and_prune_by_split(spark, data_root, tmp_path):
+    out = rd.compact_readings(rd.read_readings(spark, data_root, splits=("a", "c")), str(tmp_path / "compact"))
+    back = spark.read.parquet(out).where("split = 'a'")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan
+    assert {r.record_id for r in back.collect()} == {132595}
