@@ -62,3 +62,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["record_id", "feature", "value"] and df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_isotonic_weighted_points_equal_raw_fit(spark):
+    from pyspark.ml.regression import IsotonicRegression
+
+    rows = [(i, (i * 7) % 3 == 0 and 1 or 0, round((i % 13) / 13, 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "record_id long, label int, score double")
+    raw = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated").fit(
+        df.select("score", F.col("label").cast("double")))
+    agg = mo.fit_isotonic(df)
+    test = spark.createDataFrame([(i, 0, i / 50) for i in range(51)], "record_id long, label int, score double")
+    a = [r.calibrated for r in raw.transform(test).orderBy("record_id").collect()]
+    b = [r.score for r in mo.calibrate(agg, test).orderBy("record_id").collect()]
+    assert a == pytest.approx(b)

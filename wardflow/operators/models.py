@@ -57,11 +57,22 @@ def weight_correction(scored: DataFrame, w0: float, w1: float) -> DataFrame:
     return scored.withColumn("score", (F.lit(w1) * p) / (F.lit(w1) * p + F.lit(w0) * (1 - p)))
 
 
-def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
-    """M6 fit: monotone map score -> observed rate (ties averaged)."""
-    return IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated").fit(
-        scored.select(F.col("score").cast("double"), F.col("label").cast("double"))
-    )
+def fit_isotonic(scored: DataFrame, decimals: int | None = None) -> IsotonicRegressionModel:
+    """M6 fit: monotone map score -> observed rate (ties averaged).
+
+    The fit pools its per-partition results on the driver, so the input is
+    first reduced to one weighted point per distinct score (exact: tied
+    scores are averaged by the fit anyway). ``decimals`` rounds scores first
+    to bound that size when raw scores are nearly all distinct.
+    """
+    s = F.col("score").cast("double")
+    if decimals is not None:
+        s = F.round(s, decimals)
+    pts = scored.select(s.alias("score"), F.col("label").cast("double").alias("label")).where(
+        F.col("score").isNotNull()
+    ).groupBy("score").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight",
+                              predictionCol="calibrated").fit(pts)
 
 
 def calibrate(model: IsotonicRegressionModel, scored: DataFrame) -> DataFrame:
