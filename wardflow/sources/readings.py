@@ -61,7 +61,7 @@ def with_record_id(raw: DataFrame, from_content: bool = True) -> DataFrame:
         rid = F.regexp_extract(F.col("file"), r"([0-9]+)\.txt$", 1).cast("long")
         return body.withColumn("record_id", rid)
     ids = raw.where(F.col("parameter") == "RecordID").groupBy("file").agg(
-        F.first("value").cast("long").alias("record_id")
+        F.max("value").cast("long").alias("record_id")
     )
     return body.join(ids, "file", "inner")
 
