@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from wardflow import catalog
@@ -114,7 +115,8 @@ _WITH_STATE = S.with_(_cat_sql(), _answers_sql(), _VAL, _STATE)
 
 
 def answers_df(spark, sf_dir):
-    return SI.answers(spark, sf_dir)
+    # Read by the validation and by the per-session spines: one cache shared by plan identity.
+    return SI.answers(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def validated_df(spark, sf_dir):
