@@ -76,3 +76,15 @@ def test_isotonic_weighted_points_equal_raw_fit(spark):
     a = [r.calibrated for r in raw.transform(test).orderBy("record_id").collect()]
     b = [r.score for r in mo.calibrate(agg, test).orderBy("record_id").collect()]
     assert a == pytest.approx(b)
+
+
+def test_session_stream_equals_ungated_batch(spark):
+    import __spark_entry__ as E
+    from wardflow.operators import intake as ik
+    from wardflow.sources import standins as SI
+
+    sf = "/root/testdata/sf0.001"
+    stream = sorted(tuple(r) for r in E.queries()["session_stream"](spark, sf).collect())
+    batch = ik.session_state(ik.validate(SI.answers(spark, sf)), gate_optional=False)
+    batch = sorted(tuple(r) for r in batch.select("session_id", "field", "section", "value", "number", "seq").collect())
+    assert stream == batch and len(stream) > 0
