@@ -99,3 +99,13 @@ def test_feature_plan_stays_jvm_side(spark):
 
     plan = QF.features_events(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_pivot_readings_wide(spark):
+    r = readings_df(spark, [(1, 0, "HR", -1.0), (1, 0, "HR", 5.0), (1, 0, "Temp", -1.0), (1, 60, "HR", 70.0),
+                            (1, 60, None, 3.0)])
+    wide = fx.pivot_readings(r, ["HR", "Temp", "pH"])
+    assert wide.columns == ["record_id", "t", "HR", "Temp", "pH"]
+    rows = {x.t: x for x in wide.collect()}
+    assert rows[0]["HR"] == 2.0 and rows[0]["Temp"] is None and rows[0]["pH"] is None
+    assert rows[60]["HR"] == 70.0 and len(rows) == 2
