@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardflow.llm import packing
+from wardflow.llm import packing, sharding
 from wardflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,14 @@ def register(fn):
     return fn
 
 
+@register
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard (0 to 23, near equal bytes) and its gapless slot there."""
+    rows = sharding.shard(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return rows.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
 @register
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a 2048-token sequence."""
