@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import packing, sharding
+from wardflow.llm import chat, packing, sharding
 from wardflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a 2048-token sequence."""
     index, _ = packing.pack(table(spark, sf_dir, "documents"))
     return index
+
+
+#: A conversation whose texts hold control strings, added to the table by the contract.
+PLANTED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@register
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted as ids and read back: turn and loss digests."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in PLANTED) + " AS t(conv_id, turn, role, text)")
+    return chat.digest(chat.format_chat(turns.unionByName(planted)))
