@@ -50,9 +50,9 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def crc_mod(col: Column | str, mod: int) -> Column:
-    """``crc32(id as text) mod m``, the rule that fixes held-out rows (a null id gives null)."""
+    """``crc32(id as text) mod m``, the rule that fixes held-out rows (a null id counts as empty text)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(mod))
+    return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
 def words_of(text: str | None) -> list[bytes]:
