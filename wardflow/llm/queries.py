@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import chat, decontaminate, language, packing, sharding
+from wardflow.llm import chat, decontaminate, language, lm, packing, sharding
 from wardflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in PLANTED) + " AS t(conv_id, turn, role, text)")
     return chat.digest(chat.format_chat(turns.unionByName(planted)))
+
+
+@register
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base score and its log10 probability under the hierarchical Pitman-Yor model."""
+    return lm.score(table(spark, sf_dir, "documents"))
