@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wardflow.llm.common import WORD_SPACE
 
-DIMS, TRUSTED, UNIT, SMOOTH = 1 << 16, 20_000, 1_000_000, 2.0
+DIMS, TRUSTED, UNIT, SMOOTH = 1 << 16, 20_000, 1_000_000, 8.0
 #: Least mean log ratio of a kept text.
 THRESHOLD = -0.15
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -98,3 +98,14 @@ def verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
     good = F.coalesce(F.col("total_") >= F.round(F.lit(threshold * UNIT)).cast("long") * F.col("n_grams_"), F.lit(True))
     out = out.withColumns({"score": F.when(F.col("n_grams_") > 0, F.col("total_") / F.col("n_grams_") / UNIT), "kept": ~F.col("base_failed") & good})
     return out.drop("ws", "total_", "n_grams_")
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
+    """The kept rows of ``docs``, with its columns.
+
+    The row number in the condition keeps the optimizer from moving the filter below the columns it
+    reads, which would copy their expressions into it many times over.
+    """
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own_")
+    rows = verdicts(docs.select("doc_id", "text", own), labels, threshold, trusted).withColumn("row_", F.monotonically_increasing_id())
+    return rows.where(F.col("kept") & (F.col("row_") >= 0)).select("own_.*")
