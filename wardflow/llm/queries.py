@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import chat, decontaminate, language, lm, packing, quality, sharding
+from wardflow.llm import chat, decontaminate, jaccard, language, lm, packing, private, quality, sharding
 from wardflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+@register
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and near-duplicate component."""
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @register
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base counts and the quality verdict."""
@@ -35,6 +41,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+@register
+def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal-data counts, base digest and all spans."""
+    return private.report(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) pair where the item occurs within its error budget."""
