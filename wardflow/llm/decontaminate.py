@@ -100,52 +100,97 @@ class Index:
                     yield int(p), r[1], r[2]
 
 
-def _search(docs: DataFrame, block: list[tuple[int, str]], rate: float) -> DataFrame:
-    def run(it):
-        hashed = WordHash()
-        of = lambda text: hashed.of([w.encode("utf-8", "replace") for w in words(text)])
-        items = [(i, of(t).tolist()) for i, t in block]
-        index = Index([x for x in items if x[1]], rate)
-        for b in it:
-            ids, each = b.column(0).to_pylist(), [of(t) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([len(x) for x in each])
-            flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
-            places: dict[tuple[int, int], set[int]] = defaultdict(set)
-            for p, k, start in index.hits(flat):
-                doc = int(np.searchsorted(ends, p, "right"))
-                places[doc, k].add(p - start - int(ends[doc] - len(each[doc])))
-            out = []
-            for (doc, k), starts in sorted(places.items()):
-                item_id, ws = index.items[k]
-                e, text, best = budget(len(ws), rate), each[doc].tolist(), None
-                spans: list[list[int]] = []  # overlapping windows of one item are read once
-                for s in sorted(starts):
-                    lo, hi = max(s - e, 0), min(s + len(ws) + e, len(text))
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], hi)
-                    else:
-                        spans.append([lo, hi])
-                for lo, hi in spans:
-                    got = myers(ws, text[lo:hi], e)
-                    if got and (best is None or got[0] < best[0]):
-                        best = (got[0], got[1] + lo)
-                if best:
-                    out.append((ids[doc], item_id, best[0], len(ws), best[1]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
-
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, SCHEMA)
+class Finder:
+    """Looks for a block of items in batches of texts."""
+
+    def __init__(self, block: list[tuple[int, str]], rate: float):
+        self.hashed, self.rate = WordHash(), rate
+        items = [(i, self.words(t).tolist()) for i, t in block]
+        self.index = Index([x for x in items if x[1]], rate)
+
+    def words(self, text: str | None) -> np.ndarray:
+        return self.hashed.of([w.encode("utf-8", "replace") for w in words(text)])
+
+    def rows(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+        """``(text, item id, distance, words of the item, end word)`` of every match."""
+        each = [self.words(t) for t in texts]
+        if not each:
+            return []
+        ends, flat = np.cumsum([len(x) for x in each]), np.concatenate(each)
+        places: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for p, k, start in self.index.hits(flat):
+            doc = int(np.searchsorted(ends, p, "right"))
+            places[doc, k].add(p - start - int(ends[doc] - len(each[doc])))
+        out = []
+        for (doc, k), starts in sorted(places.items()):
+            item_id, ws = self.index.items[k]
+            e, text, best = budget(len(ws), self.rate), each[doc].tolist(), None
+            spans: list[list[int]] = []  # overlapping windows of one item are read once
+            for s in sorted(starts):
+                lo, hi = max(s - e, 0), min(s + len(ws) + e, len(text))
+                if spans and lo <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], hi)
+                else:
+                    spans.append([lo, hi])
+            for lo, hi in spans:
+                got = myers(ws, text[lo:hi], e)
+                if got and (best is None or got[0] < best[0]):
+                    best = (got[0], got[1] + lo)
+            if best:
+                out.append((doc, item_id, best[0], len(ws), best[1]))
+        return out
+
+
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
+    """The items in lists of about ``block_bytes`` of text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    size = items.agg(F.sum(F.octet_length("text") + F.lit(64)).alias("b")).first()["b"] or 0
+    n = max(1, -(-size // block_bytes))
+    for i in range(n):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
+        yield [(r["item_id"], r["text"]) for r in part]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per (document, item) where the item occurs within its budget of word edits."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text") + F.lit(64)).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-size // block_bytes))
+
+    def search(block):
+        def run(it):
+            finder = Finder(block, rate)
+            for b in it:
+                ids = b.column(0).to_pylist()
+                out = [(ids[r[0]], *r[1:]) for r in finder.rows(b.column(1).to_pylist())]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
     out = spark.createDataFrame([], SCHEMA)
-    for i in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
-        out = out.union(_search(docs, [(r["item_id"], r["text"]) for r in part], rate))
+    for block in blocks(benchmark, block_bytes):
+        out = out.union(search(block))
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold an item; rows are passed on where they are."""
+    small_batches(docs.sparkSession)
+
+    def without(block):
+        def run(it):
+            finder = Finder(block, rate)
+            for b in it:
+                at = b.schema.get_field_index("text")
+                bad = {r[0] for r in finder.rows(b.column(at).to_pylist())}
+                if bad:
+                    b = b.filter(pa.array([i not in bad for i in range(b.num_rows)]))
+                if b.num_rows:
+                    yield b
+
+        return run
+
+    out = docs
+    for block in blocks(benchmark, block_bytes):
+        out = out.mapInArrow(without(block), docs.schema)
     return out

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from wardflow.llm.common import WordHash, cut, mix, shingle_hashes, signed, small_batches, words_of
 from wardflow.llm.components import components
 
-WIDTH, ORDER, BITS, CENTRES, FAN = 5, 1 << 20, 1 << 23, 16, 16
+WIDTH, ORDER, BITS, CENTRES, FAN = 5, 1 << 20, 1 << 25, 16, 16
 SEEN = 1 << 20
 LOW = -(1 << 63)
 PLACE = np.uint64(0x2545F4914F6CDD1D)
@@ -125,13 +125,13 @@ def levels(docs: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """``doc_id, n, node, front, vec`` per row; the last two only where the task has not seen the node yet."""
+    """``doc_id, key, n, node, front, vec`` per row (key: hash of id and text); the last two only where the task has not seen the node yet."""
 
     def run(it):
         sets, seen = Sets(), set()
         for b in it:
             out = [], [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = sets.of(t)
                 node, lead, vec = node_of(s), None, None
                 if len(s) and node not in seen:
@@ -142,9 +142,9 @@ def shingle_sets(docs: DataFrame, level: np.ndarray) -> DataFrame:
                     vec = vector(s).tobytes()
                 for o, x in zip(out, (len(s), node, lead, vec)):
                     o.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())))], names=["doc_id", "n", "node", "front", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())))], names=["doc_id", "key", "n", "node", "front", "vec"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, front array<long>, vec binary")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n long, node long, front array<long>, vec binary")
 
 
 def _blocks(sets: DataFrame) -> DataFrame:
@@ -265,14 +265,26 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _bits(ids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size over the ids (two bits each): more ids only let more rows through."""
-    at = F.explode(F.array(F.pmod(F.xxhash64("d"), F.lit(BITS)), F.pmod(F.xxhash64("d", F.lit(1)), F.lit(BITS))))
-    words = ids.select(at.alias("bit")).groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("m"))
-    out = np.zeros(BITS // 64, np.int64)
+def among(ids: DataFrame):
+    """A test ``column -> boolean column``: true for every id in ``ids`` (column d), and for few others.
+
+    A bit table of fixed size (two bits per id) travels to the tasks; more ids only let more rows
+    through, so an exact join must follow.
+    """
+    place = lambda c: (F.pmod(F.xxhash64(c), F.lit(BITS)), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(BITS)))
+    words = ids.select(F.explode(F.array(*place(F.col("d")))).alias("bit")).groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("m"))
+    table = np.zeros(BITS // 64, np.int64)
     got = words.toArrow()
-    out[got["w"].to_numpy()] = got["m"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    table[got["w"].to_numpy()] = got["m"].to_numpy()
+
+    @F.pandas_udf("boolean")
+    def maybe(a, b):
+        import pandas as pd
+
+        x, y = a.to_numpy(), b.to_numpy()
+        return pd.Series((table[x >> 6] >> (x & 63) & table[y >> 6] >> (y & 63) & 1).astype(bool))
+
+    return lambda c: maybe(*place(c))
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -280,15 +292,8 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     where = sets.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LOW))).alias("d")).join(nodes, "node", "left_semi")
     where = cut(where, "jaccard-where")
-    table = _bits(where.select("d"))
-
-    @F.pandas_udf("boolean")
-    def maybe(a, b):
-        import pandas as pd
-
-        return pd.Series(table[a.to_numpy()] & table[b.to_numpy()])
-
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LOW)).alias("d"), "text").where(maybe(F.pmod(F.xxhash64("d"), F.lit(BITS)), F.pmod(F.xxhash64("d", F.lit(1)), F.lit(BITS))))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LOW)).alias("d"), "text")
+    keyed = keyed.where(among(where.select("d"))(F.col("d")))
 
     def read(it):
         sets_ = Sets()
@@ -322,7 +327,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node, component_id`` per row (``node``: rows with equal sets share it)."""
+    """``doc_id, key, n_shingles, node, component_id`` per row (``key``: hash of id and text; ``node``: rows with equal sets share it)."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = cut(shingle_sets(docs, levels(docs)), "jaccard-sets")
@@ -340,4 +345,23 @@ def join(docs: DataFrame) -> DataFrame:
     linked = least.join(comp, "node")
     ids = linked.groupBy("comp").agg(F.min("d").alias("c")).join(linked, "comp").select("node", "c")
     ids = least.where("n > 0").join(ids, "node", "left").select("node", F.coalesce("c", "d").alias("c"))
-    return sets.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("c", "doc_id").alias("component_id"))
+    return sets.join(ids, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "node", F.coalesce("c", "doc_id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component (the least id, then key); rows without words all stay.
+
+    Only rows whose key may be dropped or repeated are moved; the others pass where they are.
+    """
+    rows = cut(join(docs.select("doc_id", "text")), "jaccard-rows").where("n_shingles > 0")
+    best = F.min(F.struct(F.coalesce("doc_id", F.lit(LOW)), "key"))
+    group = F.struct(F.col("component_id").alias("c"), F.when(F.col("component_id").isNull(), F.col("node")).alias("node"))
+    kept = rows.groupBy(group.alias("g")).agg(best["key"].alias("key"))
+    per_key = rows.groupBy("key").agg(F.count("*").alias("m"))
+    other = per_key.join(kept.select("key", F.lit(True).alias("keep")), "key", "left").where("keep is null or m > 1")
+    other = cut(other.select("key", F.coalesce("keep", F.lit(False)).alias("keep")), "jaccard-other")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own_"), F.xxhash64("doc_id", "text").alias("key"))
+    keyed = keyed.withColumn("maybe", among(other.select(F.col("key").alias("d")))(F.col("key")))
+    some = keyed.where("maybe").join(other, "key", "left")
+    once = some.where("keep is null").select("own_").unionByName(some.where("keep").dropDuplicates(["key"]).select("own_"))
+    return keyed.where("not maybe").select("own_").unionByName(once).select("own_.*")

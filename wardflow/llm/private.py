@@ -125,17 +125,17 @@ def _term_spans(found: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """``docs`` plus ``spans`` (base) and ``all_spans``; ``text`` only of rows with spans unless ``whole``."""
+    """``own_`` (all other columns of ``docs``), ``text``, ``spans`` (base), ``all_spans`` per row; ``text``
+    only of rows with spans unless ``whole``."""
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("own_")
     marked = base_spans(docs.select(own, "text"))
     text = F.col("text") if whole else F.when(F.size("spans") > 0, F.col("text"))
     found = cut(marked.select("own_", text.alias("text"), "spans", F.monotonically_increasing_id().alias("row_")), "pii-spans")
-    more = cut(_term_spans(found, disclosing(docs, found)), "pii-terms")
+    more = cut(_term_spans(found, disclosing(docs.select("text"), found)), "pii-terms")
     hit = found.where(F.size("spans") > 0).join(more, "row_", "left")
     hit = hit.select("own_", "text", "spans", F.concat("spans", F.coalesce("more", F.array().cast(SPAN))).alias("all_spans"))
     clean = found.where(F.size("spans") == 0).select("own_", "text", "spans", F.col("spans").alias("all_spans"))
-    out = clean.unionByName(hit)
-    return out.select(*(F.col("text") if c == "text" else F.col(f"own_.`{c}`") for c in docs.columns), "spans", "all_spans")
+    return clean.unionByName(hit)
 
 
 def listed(spans: Column) -> Column:
@@ -160,12 +160,12 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced or removed; all columns and rows stay."""
-    rows = find(docs, whole=True)
-    return rows.withColumn("text", redacted(F.col("text"), F.col("all_spans"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    text = redacted(F.col("text"), F.col("all_spans"))
+    return find(docs, whole=True).select(*(text.alias(c) if c == "text" else F.col(f"own_.`{c}`") for c in docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts, the digest of the base spans, and all spans as text."""
     rows = find(docs.select("doc_id", "text"))
     n = {f"n_{kind}": F.size(F.expr(f"filter(spans, s -> s.kind = '{kind}')")).cast("long") for kind, _ in PATTERNS}
-    return rows.select("doc_id", *(c.alias(k) for k, c in n.items()), F.sha2(listed(F.col("spans")), 256).alias("base_sha256"), listed(F.col("all_spans")).alias("spans"))
+    return rows.select("own_.doc_id", *(c.alias(k) for k, c in n.items()), F.sha2(listed(F.col("spans")), 256).alias("base_sha256"), listed(F.col("all_spans")).alias("spans"))
