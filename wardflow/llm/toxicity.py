@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wardflow.llm.common import WordHash, crc_mod, mix, small_batches, words_of
 
-WINDOW, STRIDE, PER_CLASS, EPOCHS = 48, 40, 1500, 18
+WINDOW, STRIDE, PER_CLASS, EPOCHS, LEAST_STEPS = 48, 40, 1500, 18, 800
 WORDS, GRAMS, DIM, HIDDEN, ATTEND = 1 << 16, 1 << 14, 12, 8, 6
 ROWS, CHUNK = 4096, 2 << 20
 MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
@@ -163,7 +163,8 @@ def scores(p, texts: list[list[bytes]], hashed: WordHash) -> np.ndarray:
 
 
 def fit(texts: list[list[bytes]], y: np.ndarray, seed: int = 4, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Adam on the logistic loss; from the third epoch each text speaks through its top window."""
+    """Adam on the logistic loss, for at least LEAST_STEPS steps; from the third epoch each text speaks through its top window."""
+    epochs = max(epochs, -(-LEAST_STEPS * 64 // (2 * len(texts))))
     rng, hashed = np.random.default_rng(seed), WordHash()
     p = new_parameters(rng)
     words, at, first = lay_out(texts)
