@@ -12,13 +12,15 @@ of sizes. Steps:
    them, so a node's place is sent once per block, not once per shingle.
 3. Index. Shingles are hashed into groups; the counts per group are a node's point, and the sum of
    coordinate minima of two points bounds their overlap from above. A first round runs through
-   every block with a few centres in hand and proposes each node to the first centre that its bound
-   allows. Proposals are verified on the sets and contracted to components.
-4. Search. Blocks that still hold several components are packed into R-trees (nodes of 16, corners
-   of maxima); every point searches its tree for points of other components whose bound allows a link.
-   All of these pairs are verified. A link inside a component changes nothing, so no link is lost.
-
-Verification reads only the texts of proposed nodes; the rows to read are found through a bit table
+   every block with a few centres in hand and proposes a node to the first centre that its bound
+   allows. One proposal per node is verified on the sets, and links are contracted to components.
+4. Search. Blocks that still hold several components are cut into tiles of bounded size (a block of P
+   parts makes a tile of each two parts) and packed into R-trees (nodes of 16, corners of maxima). Every point
+   searches its tree for points of other components whose bound allows a link, and these pairs are
+   verified on the sets at once. Pairs inside a component, found so far, need no test: a link between
+   them changes nothing. So no link is lost, and copies are never expanded into pairs.
+
+Verification reads only the texts of nodes in question; the rows to read are found through a bit table
 of fixed size and then an exact join.
 
 Defined cases: documents without words have the empty set, link with nothing and are their own
@@ -39,6 +41,7 @@ from wardflow.llm.common import WordHash, cut, mix, shingle_hashes, signed, smal
 from wardflow.llm.components import components
 
 WIDTH, ORDER, BITS, CENTRES, FAN = 5, 1 << 20, 1 << 25, 16, 16
+TILE = 1024
 SEEN = 1 << 20
 LOW = -(1 << 63)
 PLACE = np.uint64(0x2545F4914F6CDD1D)
@@ -194,71 +197,107 @@ def _centre_pairs(members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=["a", "b"])
 
     dealt = members.select("anchor", "node", "n", "vec").repartition("anchor").sortWithinPartitions("anchor", "n", "node")
-    return _ordered(dealt.mapInArrow(run, "a long, b long"))
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 class Tree:
-    """A packed R-tree over points in order of set size: leaves of FAN points, corners of maxima."""
+    """A packed R-tree over points in order of set size: FAN entries a node, corners of maxima."""
 
     def __init__(self, n: np.ndarray, vecs: list[np.ndarray]):
-        self.n, self.vecs = n, vecs
-        level = [(i, i + 1, v) for i, v in enumerate(vecs)]
-        self.levels = []
-        while len(level) > 1:
-            up = []
-            for i in range(0, len(level), FAN):
-                part = level[i : i + FAN]
+        self.n, self.vecs, self.levels = n, vecs, []
+        entries = [(i, i + 1, v) for i, v in enumerate(vecs)]
+        while not self.levels or len(self.levels[-1]) > 1:
+            level, up = [], []
+            for i in range(0, len(entries), FAN):
+                part = entries[i : i + FAN]
                 size = min(len(v) for _, _, v in part)
-                up.append((part[0][0], part[-1][1], np.max([fold(v, size) for _, _, v in part], 0)))
-            self.levels.append(up)
-            level = up
+                corners = np.array([fold(v, size) for _, _, v in part])
+                lo, hi = np.array([e[0] for e in part]), np.array([e[1] for e in part])
+                level.append((size, corners, lo, hi, n[lo]))
+                up.append((part[0][0], part[-1][1], corners.max(0)))
+            self.levels.append(level)
+            entries = up
 
     def after(self, i: int) -> list[int]:
         """Points behind i, of allowed size, whose bound with i reaches what a link needs."""
         n, v = int(self.n[i]), self.vecs[i]
         stop = int(np.searchsorted(self.n, n * 10 // 8, "right"))
-        depth = len(self.levels) - 1
-        todo = [(depth, k) for k in range(len(self.levels[depth]))] if depth >= 0 else []
-        hits = []
+        folded: dict[int, np.ndarray] = {}
+        todo, hits = [(len(self.levels) - 1, 0)], []
         while todo:
-            d, k = todo.pop()
-            lo, hi, top = self.levels[d][k]
-            if hi <= i + 1 or lo >= stop or bound(top, v) < needed(n + int(self.n[max(lo, i + 1)])):
-                continue
-            if d:
-                todo.extend((d - 1, c) for c in range(k * FAN, min((k + 1) * FAN, len(self.levels[d - 1]))))
-            else:
-                hits.extend(j for j in range(max(lo, i + 1), min(hi, stop)) if bound(self.vecs[j], v) >= needed(n + int(self.n[j])))
+            depth, k = todo.pop()
+            size, corners, lo, hi, least = self.levels[depth][k]
+            if len(v) < size:
+                corners, size = corners.reshape(len(corners), -1, len(v)).sum(1), len(v)
+            if size not in folded:
+                folded[size] = fold(v, size)
+            over = np.minimum(corners, folded[size]).sum(1) >= needed(n + np.maximum(least, n))
+            for c in np.flatnonzero(over & (hi > i + 1) & (lo < stop)):
+                if depth:
+                    todo.append((depth - 1, k * FAN + int(c)))
+                else:
+                    hits.append(int(lo[c]))
         return hits
 
 
-def _tree_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of different components in a block whose bound allows a link."""
-
-    def search(rows):
-        if len({r[2] for r in rows}) < 2:
-            return []
-        tree = Tree(np.array([r[1] for r in rows]), [np.frombuffer(r[3], np.uint8) for r in rows])
-        return [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in tree.after(i) if rows[i][2] != rows[j][2]]
+def linked(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sets of sorted hashes link."""
+    if len(s) > len(t):
+        s, t = t, s
+    common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return 100 * common >= 80 * (len(s) + len(t) - common)
+
+
+def tile_links(rows: list[tuple[int, int, int, bytes]], crossing: bool) -> list[tuple[int, int]]:
+    """Links between different components among ``(node, comp, part, set)``, as few as join them; with
+    ``crossing`` only pairs of different parts are this tile's."""
+    if len({r[1] for r in rows}) < 2:
+        return []
+    rows = sorted(((np.frombuffer(r[3], np.uint64), r) for r in rows), key=lambda x: (len(x[0]), x[1][0]))
+    sets = [s for s, _ in rows]
+    tree = Tree(np.array([len(s) for s in sets]), [vector(s) for s in sets])
+    up: dict[int, int] = {}
+
+    def root(c):
+        while c in up:
+            up[c] = up.get(up[c], up[c])
+            c = up[c]
+        return c
+
+    out = []
+    for i, (s, (node, comp, part, _)) in enumerate(rows):
+        for j in tree.after(i):
+            other, comp2, part2, _ = rows[j][1]
+            a, b = root(comp), root(comp2)
+            if a != b and not (crossing and part == part2) and linked(s, sets[j]):
+                up[max(a, b)] = min(a, b)
+                out.append((node, other))
+    return out
+
+
+def _tile_search(members: DataFrame, full: DataFrame) -> DataFrame:
+    """``a, b``: links that join different components of a block. ``members``: anchor, node, comp, parts."""
 
     def run(it):
-        block, rows, out = None, [], []
+        tile, rows, out = None, [], []
         for b in it:
-            for anchor, node, n, comp, raw in zip(*(c.to_pylist() for c in b.columns)):
-                if anchor != block:
-                    out.extend(search(rows))
-                    block, rows = anchor, []
-                rows.append((node, n, comp, raw))
+            for anchor, i, j, node, comp, part, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if (anchor, i, j) != tile:
+                    out.extend(tile_links(rows, tile is not None and tile[1] != tile[2]))
+                    tile, rows = (anchor, i, j), []
+                rows.append((node, comp, part, raw))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=["a", "b"])
                 out = []
-        out.extend(search(rows))
+        out.extend(tile_links(rows, tile is not None and tile[1] != tile[2]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=["a", "b"])
 
-    mixed = members.groupBy("anchor").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("anchor")
-    dealt = members.join(mixed, "anchor", "left_semi").select("anchor", "node", "n", "comp", "vec")
-    return _ordered(dealt.repartition("anchor").sortWithinPartitions("anchor", "n", "node").mapInArrow(run, "a long, b long"))
+    tiled = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiled = tiled.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+    tiled = tiled.select("anchor", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "node", "comp", "part")
+    dealt = tiled.join(full, "node").select("anchor", "i", "j", "node", "comp", "part", "s")
+    return _ordered(dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(run, "a long, b long"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -287,9 +326,8 @@ def among(ids: DataFrame):
     return lambda c: maybe(*place(c))
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets link. ``pairs`` is read several times: it must be cut."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, s``: the whole set of every node in ``nodes``, from the text of one of its rows."""
     where = sets.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LOW))).alias("d")).join(nodes, "node", "left_semi")
     where = cut(where, "jaccard-where")
     keyed = docs.select(F.coalesce("doc_id", F.lit(LOW)).alias("d"), "text")
@@ -306,23 +344,19 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], names=["node", "s"])
 
-    full = keyed.join(where, "d").select("node", "text").mapInArrow(read, "node long, s binary").dropDuplicates(["node"])
-    full = cut(full, "jaccard-full")
-    one, two = (full.select(F.col("node").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+    full = keyed.join(where, "d").select("node", "text").mapInArrow(read, "node long, s binary")
+    return cut(full.dropDuplicates(["node"]), "jaccard-full")
+
+
+def _verified(full: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets link."""
 
     def test(it):
         for b in it:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            ok, last, s = np.zeros(len(x), bool), None, None
-            for i, (p, q) in enumerate(zip(x, y)):
-                if p is not last:
-                    last, s = p, np.frombuffer(p, np.uint64)
-                t = np.frombuffer(q, np.uint64)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                ok[i] = 100 * common >= 80 * (len(s) + len(t) - common)
-            i = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i))], names=["a", "b"])
+            ok = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    one, two = (full.select(F.col("node").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
@@ -333,12 +367,14 @@ def join(docs: DataFrame) -> DataFrame:
     sets = cut(shingle_sets(docs, levels(docs)), "jaccard-sets")
     points = sets.where("vec is not null").dropDuplicates(["node"]).select("node", "n", "vec")
     members = cut(_blocks(sets).join(points, "node"), "jaccard-members")
-    tried = cut(_centre_pairs(members), "jaccard-tried")
-    links = cut(_verified(docs, sets, tried), "jaccard-links")
+    full = _full_sets(docs, sets, members.select("node").distinct())
+    tried = _centre_pairs(members).groupBy("b").agg(F.min("a").alias("a"))
+    links = cut(_verified(full, tried), "jaccard-links")
     comp = cut(components(links), "jaccard-comp")
-    labelled = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = cut(_tree_pairs(cut(labelled, "jaccard-labelled")).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = cut(_verified(docs, sets, rest), "jaccard-more")
+    labelled = cut(members.select("anchor", "node").join(comp, "node", "left").select("anchor", "node", F.coalesce("comp", "node").alias("comp")), "jaccard-labelled")
+    mixed = labelled.groupBy("anchor").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
+    mixed = mixed.select("anchor", F.ceil(F.col("k") / TILE).cast("int").alias("parts"))
+    more = cut(_tile_search(labelled.join(mixed, "anchor"), full), "jaccard-more")
     if not more.isEmpty():
         comp = cut(components(links.unionByName(more)), "jaccard-comp")
     least = sets.groupBy("node").agg(F.min("doc_id").alias("d"), F.first("n").alias("n"))
