@@ -13,9 +13,11 @@ def plan_of(df):
 
 @pytest.fixture(scope="module")
 def queries():
-    import __spark_entry__ as E
+    import __spark_entry__  # noqa: F401  loads the registry
+    from wardflow.plans import registry
 
-    return E.queries()
+    registry.load_all()
+    return registry.QUERIES
 
 
 def test_no_python_evaluation_in_any_plan(spark, queries):
@@ -30,12 +32,8 @@ def test_no_python_evaluation_in_any_plan(spark, queries):
 @pytest.mark.parametrize("name", ["roc_auc", "threshold_sweep", "pr_curve", "risk_groups", "event2",
                                   "ranked_predictions", "undersample_toxic", "feature_medians"])
 def test_global_order_without_single_partition(spark, queries, name):
-    spark.conf.set("wardflow.g1.bucketRows", "50")
-    try:
-        p = plan_of(queries[name](spark, SF))
-        assert "SinglePartition" not in p, name
-    finally:
-        spark.conf.unset("wardflow.g1.bucketRows")
+    p = plan_of(queries[name](spark, SF))
+    assert "SinglePartition" not in p, name
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark, queries):

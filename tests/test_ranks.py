@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from wardflow.operators.ranks import exact_median, exact_mode, row_ranks, running_totals
 
 
-@pytest.mark.parametrize("bucket_rows", [None, 7])
-def test_running_totals_match_brute_force(spark, bucket_rows):
+def test_running_totals_match_brute_force(spark):
     rnd = random.Random(3)
     rows = [(g, float(k), rnd.randint(0, 5)) for g in ("a", "b") for k in rnd.sample(range(1000), 60)]
     rows += [("c", 1.0, 2)]
     df = spark.createDataFrame(rows, "g string, k double, v long")
-    out = running_totals(df, "k", ["v"], partition_cols=["g"], max_cols=["v"], rows_per_bucket=bucket_rows).collect()
+    out = running_totals(df, "k", ["v"], partition_cols=["g"], max_cols=["v"]).collect()
     for r in out:
         same = [x for x in rows if x[0] == r.g]
         assert r.cum_v == sum(x[2] for x in same if x[1] <= r.k)
@@ -25,21 +24,21 @@ def test_running_totals_match_brute_force(spark, bucket_rows):
 
 def test_descending_and_ranks(spark):
     df = spark.createDataFrame([(float(k), k % 3) for k in range(50)], "k double, id long")
-    got = {r.k: r.rank for r in row_ranks(df, "k", descending=True, rows_per_bucket=5).collect()}
+    got = {r.k: r.rank for r in row_ranks(df, "k", descending=True).collect()}
     assert got[49.0] == 1 and got[0.0] == 50
     tied = spark.createDataFrame([(1.0, i) for i in range(30)], "k double, id long")
-    got = {r.id: r.rank for r in row_ranks(tied, "k", tie_cols=["id"], rows_per_bucket=4).collect()}
+    got = {r.id: r.rank for r in row_ranks(tied, "k", tie_cols=["id"]).collect()}
     assert got == {i: i + 1 for i in range(30)}
 
 
 def test_hot_path_plan_has_no_single_partition(spark):
     df = spark.range(0, 2000).selectExpr("cast(id as double) as k", "1L as v")
-    out = running_totals(df, "k", ["v"], rows_per_bucket=100)
+    out = running_totals(df, "k", ["v"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "NestedLoop" not in plan
     got = sorted((r.k, r.cum_v, r.total_v) for r in out.collect())
     assert got == [(float(i), i + 1, 2000) for i in range(2000)]
-    grouped = running_totals(df.withColumn("g", F.col("k") % 2), "k", ["v"], partition_cols=["g"], rows_per_bucket=100)
+    grouped = running_totals(df.withColumn("g", F.col("k") % 2), "k", ["v"], partition_cols=["g"])
     plan = grouped._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "NestedLoop" not in plan
 
@@ -54,13 +53,30 @@ def test_exact_median_even_odd(spark, n):
 
 
 def test_exact_median_bucketed(spark):
-    spark.conf.set("wardflow.g1.bucketRows", "5")
-    try:
-        vals = [float(i * 7 % 101) for i in range(101)]
-        df = spark.createDataFrame([("x", v) for v in vals], "g string, v double")
-        assert exact_median(df, ["g"], "v").first()["median"] == float(np.median(vals))
-    finally:
-        spark.conf.unset("wardflow.g1.bucketRows")
+    vals = [float(i * 7 % 101) for i in range(101)]
+    df = spark.createDataFrame([("x", v) for v in vals], "g string, v double")
+    assert exact_median(df, ["g"], "v").first()["median"] == float(np.median(vals))
+
+
+def test_one_giant_and_many_small_groups(spark):
+    rows = [("giant", i, i % 7) for i in range(3000)] + [(f"g{k}", i, 1) for k in range(60) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    got = {(r.g, r.k): (r.cum_v, r.total_v) for r in running_totals(df, "k", ["v"], partition_cols=["g"]).collect()}
+    assert len(got) == len(rows) and all(got[f"g{k}", i] == (i + 1, 20) for k in range(60) for i in range(20))
+    total = sum(i % 7 for i in range(3000))
+    run = 0
+    for i in range(3000):
+        run += i % 7
+        assert got["giant", i] == (run, total)
+
+
+def test_keys_keep_their_type(spark):
+    names = spark.createDataFrame([(f"k{i:03d}",) for i in range(300)], "k string")
+    assert {r.k: r["rank"] for r in row_ranks(names, "k").collect()} == {f"k{i:03d}": i + 1 for i in range(300)}
+    big = spark.createDataFrame([(2**60 + i,) for i in range(50)], "k long")
+    assert {r.k: r["rank"] for r in row_ranks(big, "k", descending=True).collect()} == {2**60 + i: 50 - i for i in range(50)}
+    nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "g string, k long")
+    assert sorted((r.g or "", r.k, r["rank"], r.n) for r in row_ranks(nulls, "k", partition_cols=["g"]).collect()) == [("", 1, 1, 2), ("", 2, 2, 2), ("a", 1, 1, 1)]
 
 
 def test_mode_smallest_on_tie(spark):

@@ -2,16 +2,14 @@
 
 Spark plans ``Window.orderBy(...)`` without ``partitionBy`` as one task over all
 rows, and ``percentile`` keeps every distinct value of a group in one buffer.
-Both break when a group is large. Here a partition larger than a row bound
-("hot") is cut into range buckets whose edges come from one
-``percentile_approx`` pass over the hot partitions only (so every bucket holds
-about the bound, whatever the value distribution). Each bucket is sorted on
-its own; a small table of per-bucket sums (hot partitions x buckets rows, size
-checked) supplies the running offset of every bucket. Partitions under the
-bound are plain window partitions, so millions of small groups cost nothing
-extra.
-
-The order key must be (near) unique inside a partition: aggregate to distinct
+Both break when a group is large. Here all rows are dealt by range of (group,
+key, ties) once, whatever the sizes, and written to the shared folder with the
+number of their range. A group that spans several ranges is then ordered range
+by range: the sums of each (group, range), a table with at most one row per
+group and range, give every range its offset. Keys keep their own type, and
+nothing is read on the driver.
+
+Rows that agree in group, key and ties share a range: aggregate to distinct
 keys first (a histogram), or add a tie-breaker via ``tie_cols``.
 """
 
@@ -19,53 +17,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardflow.session import local_frame
-
-# Upper bound on (hot partitions x buckets) kept in the broadcast offset table.
-MAX_OFFSET_ROWS = 2_000_000
-# Rows up to which one partition is sorted whole in one task (config: wardflow.g1.bucketRows).
-BUCKET_ROWS_CONF = "wardflow.g1.bucketRows"
-DEFAULT_BUCKET_ROWS = 2_000_000
-MAX_BUCKETS = 4096
-
+from wardflow.session import scratch_path
 
-def bucket_rows(spark) -> int:
-    return int(spark.conf.get(BUCKET_ROWS_CONF, str(DEFAULT_BUCKET_ROWS)))
 
-
-def _hot_edges(df, parts, order_col, limit):
-    """Range-bucket edges for partitions holding more than ``limit`` rows.
-
-    The hot list is bounded by total rows / limit and checked before use.
-    """
-    counts = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_cnt")).where(F.col("_cnt") > limit)
-    hot = counts.limit(MAX_OFFSET_ROWS + 1).collect()
-    if not hot:
-        return []
-    biggest = max(r["_cnt"] for r in hot)
-    buckets = int(min(MAX_BUCKETS, max(2, -(-biggest // max(limit, 1)))))
-    if len(hot) * buckets > MAX_OFFSET_ROWS:
-        raise ValueError(f"running_totals: {len(hot)} hot partitions x {buckets} buckets exceeds {MAX_OFFSET_ROWS}")
-    spark = df.sparkSession
-    schema = ", ".join(f"`{p}` {df.schema[p].dataType.simpleString()}" for p in parts)
-    hot_df = local_frame(spark, [tuple(r[p] for p in parts) for r in hot], schema)
-    qs = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10000, 20 * buckets)
-    rows = (
-        df.join(F.broadcast(hot_df), parts, "left_semi")
-        .groupBy(*parts)
-        .agg(F.percentile_approx(F.col(order_col).cast("double"), qs, accuracy).alias("_edges"))
-        .collect()
-    )
-    out = []
-    for r in rows:
-        e = sorted(set(x for x in (r["_edges"] or []) if x is not None))
-        out.append(tuple(r[p] for p in parts) + (e,))
-    return out
+def _ranged(df: DataFrame, order: list) -> DataFrame:
+    """``df`` dealt by range of ``order`` and read back, ``_b`` the number of each row's range."""
+    path = scratch_path(df.sparkSession, "ranges")
+    df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def running_totals(
@@ -76,169 +38,57 @@ def running_totals(
     tie_cols: Sequence[str] = (),
     descending: bool = False,
     max_cols: Sequence[str] = (),
-    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum in key order) and ``total_<c>``
     (sum over the partition) for every ``c`` in ``sum_cols``, and
     ``runmax_<c>`` (inclusive running max) for every ``c`` in ``max_cols``.
 
-    A partition of at most ``rows_per_bucket`` rows is one window partition.
-    A larger ("hot") partition is cut into range buckets on the order key;
-    buckets are sorted on their own and shifted by the sums/maxima of the
-    buckets before them (a broadcast table of hot partitions x buckets rows).
     Rows with a NULL order key are dropped. ``descending`` sorts the key high
     to low (ties on ``tie_cols`` still ascend).
     """
-    spark = df.sparkSession
     parts = list(partition_cols)
-    limit = rows_per_bucket if rows_per_bucket is not None else bucket_rows(spark)
-    df = df.where(F.col(order_col).isNotNull())
-    if not parts:
-        return _running_totals_global(df, order_col, sum_cols, tie_cols, descending, max_cols, limit)
-
-    edge_rows = _hot_edges(df, parts, order_col, limit)
-    key = F.col(order_col).cast("double")
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    within = (
-        Window.partitionBy(*parts, "_b")
-        .orderBy(o, *[F.col(t).asc() for t in tie_cols])
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    whole_bucket = Window.partitionBy(*parts, "_b")
-    keep = list(df.columns)
-
-    if not edge_rows:
-        # No hot partition: every partition is one window partition.
-        x = df.withColumn("_b", F.lit(0))
-        return x.select(
-            *keep,
-            *[F.sum(c).over(within).alias(f"cum_{c}") for c in sum_cols],
-            *[F.sum(c).over(whole_bucket).alias(f"total_{c}") for c in sum_cols],
-            *[F.max(c).over(within).alias(f"runmax_{c}") for c in max_cols],
-        )
-
-    schema = ", ".join(f"`{p}` {df.schema[p].dataType.simpleString()}" for p in parts)
-    edges = local_frame(spark, edge_rows, f"{schema}, `_edges` array<double>")
-    if descending:
-        bucket = F.size(F.col("_edges")) - F.size(F.filter(F.col("_edges"), lambda e: e <= key))
-    else:
-        bucket = F.size(F.filter(F.col("_edges"), lambda e: e < key))
-    x = (
-        df.join(F.broadcast(edges), parts, "left")
-        .withColumn("_b", F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(bucket))
-        .withColumn("_hot", F.col("_edges").isNotNull())
-        .drop("_edges")
+    key = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    order = [key, *(F.col(t).asc() for t in tie_cols)]
+    x = _ranged(df.where(F.col(order_col).isNotNull()), [*(F.col(p) for p in parts), *order])
+    sums = x.groupBy(*parts, "_b").agg(
+        *[F.sum(c).alias(f"_s_{c}") for c in sum_cols], *[F.max(c).alias(f"_m_{c}") for c in max_cols], (F.max("_b") * 0).alias("_all")
     )
-    # Offsets of hot partitions only: bounded by hot partitions x buckets.
-    sums = x.where("_hot").groupBy(*parts, "_b").agg(
-        *[F.sum(c).alias(f"_s_{c}") for c in sum_cols], *[F.max(c).alias(f"_m_{c}") for c in max_cols]
-    )
-    before = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*parts)
+    whole = Window.partitionBy(*parts, "_all")
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(p).alias(f"_g_{i}") for i, p in enumerate(parts)]
     offs = sums.select(
-        *parts, "_b",
+        *named, F.col("_b").alias("_gb"),
         *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
         *[F.sum(f"_s_{c}").over(whole).alias(f"_t_{c}") for c in sum_cols],
         *[F.max(f"_m_{c}").over(before).alias(f"_p_{c}") for c in max_cols],
     )
-    out = x.join(F.broadcast(offs), [*parts, "_b"], "left")
-    return out.select(
-        *keep,
-        *[(F.coalesce(F.col(f"_o_{c}"), F.lit(0)) + F.sum(c).over(within)).alias(f"cum_{c}") for c in sum_cols],
-        *[F.coalesce(F.col(f"_t_{c}"), F.sum(c).over(whole_bucket)).alias(f"total_{c}") for c in sum_cols],
+    on = F.col("_b") == F.col("_gb")
+    for i, p in enumerate(parts):
+        on = on & F.col(p).eqNullSafe(F.col(f"_g_{i}"))
+    within = Window.partitionBy(*parts, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(offs, on).select(
+        *df.columns,
+        *[(F.col(f"_o_{c}") + F.sum(c).over(within)).alias(f"cum_{c}") for c in sum_cols],
+        *[F.col(f"_t_{c}").alias(f"total_{c}") for c in sum_cols],
         *[F.greatest(F.col(f"_p_{c}"), F.max(c).over(within)).alias(f"runmax_{c}") for c in max_cols],
     )
 
 
-def _running_totals_global(df, order_col, sum_cols, tie_cols, descending, max_cols, limit):
-    """running_totals over the whole frame (no partition columns).
-
-    Up to ``limit`` rows: one window partition. Beyond it: range buckets from
-    ``approxQuantile``; per-bucket sums/maxima (one row per bucket) come back
-    as literal maps, so there is neither a join nor a single-partition step.
-    """
-    key = F.col(order_col).cast("double")
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    n = df.count()
-    buckets = int(min(MAX_BUCKETS, max(1, -(-n // max(limit, 1)))))
-    if buckets <= 1:
-        w = Window.orderBy(o, *[F.col(t).asc() for t in tie_cols]).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy()
-        return df.select(
-            *df.columns,
-            *[F.sum(c).over(w).alias(f"cum_{c}") for c in sum_cols],
-            *[F.sum(c).over(whole).alias(f"total_{c}") for c in sum_cols],
-            *[F.max(c).over(w).alias(f"runmax_{c}") for c in max_cols],
-        )
-    qs = [i / buckets for i in range(1, buckets)]
-    raw = df.select(key.alias("_k")).approxQuantile("_k", qs, 1.0 / max(10000, 20 * buckets))
-    edges = F.array(*[F.lit(float(e)) for e in sorted(set(raw))])
-    if descending:
-        bucket = F.size(edges) - F.size(F.filter(edges, lambda e: e <= key))
-    else:
-        bucket = F.size(F.filter(edges, lambda e: e < key))
-    x = df.withColumn("_b", bucket)
-    sums = x.groupBy("_b").agg(
-        *[F.sum(c).alias(f"s_{c}") for c in sum_cols], *[F.max(c).alias(f"m_{c}") for c in max_cols]
-    ).collect()  # one row per bucket
-    sums = sorted(sums, key=lambda r: r["_b"])
-    within = (
-        Window.partitionBy("_b").orderBy(o, *[F.col(t).asc() for t in tie_cols])
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    out = [*df.columns]
-    for c in sum_cols:
-        acc, offs = 0, {}
-        for r in sums:
-            offs[r["_b"]] = acc
-            acc += r[f"s_{c}"] or 0
-        m = F.create_map(*[v for b, o_ in offs.items() for v in (F.lit(b), F.lit(o_))])
-        out += [(m[F.col("_b")] + F.sum(c).over(within)).alias(f"cum_{c}"), F.lit(acc).alias(f"total_{c}")]
-    for c in max_cols:
-        best, prev = None, {}
-        for r in sums:
-            prev[r["_b"]] = best
-            v = r[f"m_{c}"]
-            best = v if best is None else (best if v is None else max(best, v))
-        m = F.create_map(*[v for b, p_ in prev.items() for v in (F.lit(b), F.lit(p_))])
-        out.append(F.greatest(m[F.col("_b")], F.max(c).over(within)).alias(f"runmax_{c}"))
-    return x.select(*out)
-
-
 def row_ranks(
     df: DataFrame,
     order_col: str,
     tie_cols: Sequence[str] = (),
     partition_cols: Sequence[str] = (),
     descending: bool = False,
-    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Add ``rank`` (1-based row number in (order_col, tie_cols) order) and ``n``.
 
-    With a tie-breaker the order is ranked in two levels, so a key value that
-    holds a large share of the rows is still split: distinct keys are ranked
-    on their counts (a histogram), and rows of one key are ranked by the
-    tie-breaker inside their (partition, key) group, where a hot group gets
-    id-range buckets of its own. ``tie_cols`` must make rows unique per key.
+    Ranges are cut by key and ties together, so a key value that holds a large
+    share of the rows is split by its ties.
     """
-    parts = list(partition_cols)
-    if not tie_cols:
-        x = df.withColumn("_one", F.lit(1).cast("long"))
-        out = running_totals(x, order_col, ["_one"], partition_cols=parts, descending=descending,
-                             rows_per_bucket=rows_per_bucket)
-        return out.withColumnRenamed("cum__one", "rank").withColumnRenamed("total__one", "n").drop("_one")
-    if len(tie_cols) != 1:
-        raise ValueError("row_ranks: one tie column (unique per key) is supported")
-    tie = tie_cols[0]
-    base = df.where(F.col(order_col).isNotNull())
-    hist = base.groupBy(*parts, order_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    keys = running_totals(hist, order_col, ["_cnt"], partition_cols=parts, descending=descending,
-                          rows_per_bucket=rows_per_bucket).select(
-        *parts, order_col, (F.col("cum__cnt") - F.col("_cnt")).alias("_before"), F.col("total__cnt").alias("n"))
-    inner = running_totals(base.withColumn("_one", F.lit(1).cast("long")), tie, ["_one"],
-                           partition_cols=[*parts, order_col], rows_per_bucket=rows_per_bucket)
-    out = inner.join(keys, [*parts, order_col], "inner")
-    return out.select(*df.columns, (F.col("_before") + F.col("cum__one")).alias("rank"), "n")
+    out = running_totals(df.withColumn("_one", F.lit(1).cast("long")), order_col, ["_one"], partition_cols=partition_cols,
+                         tie_cols=tie_cols, descending=descending)
+    return out.select(*df.columns, F.col("cum__one").alias("rank"), F.col("total__one").alias("n"))
 
 
 def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, alias: str = "median") -> DataFrame:
@@ -247,13 +97,7 @@ def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, alias
     Distributed: a value histogram, G1 running counts over it, then the one or
     two middle values per group. No group is ever held in one buffer.
     """
-    # Read up to three times (hot check, edges, rows): kept, spilling to disk if large.
-    hist = (
-        df.where(F.col(value_col).isNotNull())
-        .groupBy(*group_cols, value_col)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    hist = df.where(F.col(value_col).isNotNull()).groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n"))
     rt = running_totals(hist, value_col, ["_n"], partition_cols=group_cols)
     n = F.col("total__n")
     p1 = F.floor((n + 1) / 2)
