@@ -32,13 +32,20 @@ def mask_sentinel(col, sentinel: float = SENTINEL) -> Column:
 
 
 def safe_float(col) -> Column:
-    """Numeric text -> double, anything else -> NULL (ANSI-safe)."""
+    """Decimal numeric text -> finite double, anything else -> NULL (ANSI-safe).
+
+    Suffixed (``72f``), hexadecimal and non-finite texts (``NaN``) are no numbers here.
+    """
     return _try_double(_c(col))
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def _try_double(c: Column) -> Column:
-    # try_cast via the SQL function keeps it inside codegen and null on bad text.
-    return F.trim(c).try_cast("double")
+    text = F.trim(c.cast("string"))
+    x = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def gender_code(col) -> Column:
@@ -48,7 +55,7 @@ def gender_code(col) -> Column:
     return (
         F.when(norm == "male", F.lit(1))
         .when(norm == "female", F.lit(0))
-        .otherwise(num.cast("int"))
+        .otherwise(num.try_cast("int"))
     )
 
 
@@ -60,9 +67,9 @@ def apply_threshold(score, threshold: float, strict: bool = True) -> Column:
 
 
 def risk_band(score, threshold: float = 0.35) -> tuple[Column, Column]:
-    """(label, score rounded to 3 places); RISK when score > threshold."""
+    """(label, score rounded to 3 places); RISK when score > threshold, NULL for a NULL score."""
     s = _c(score)
-    label = F.when(s > F.lit(threshold), F.lit("RISK")).otherwise(F.lit("NO RISK"))
+    label = F.when(s > F.lit(threshold), F.lit("RISK")).when(s.isNotNull(), F.lit("NO RISK"))
     return label, F.round(s, 3)
 
 

@@ -18,19 +18,31 @@ from wardflow.session import local_frame
 
 def alignment_report(left: DataFrame, right: DataFrame, key: str = "record_id",
                      names=("matched", "only_left", "only_right")) -> DataFrame:
-    """One row counting ids on both sides and on one side only."""
-    a = left.select(key).withColumn("_l", F.lit(1))
-    b = right.select(key).withColumn("_r", F.lit(1))
-    j = a.join(b, key, "full_outer")
+    """One row counting distinct ids on both sides and on one side only."""
+    j = _sides(left, right, key)
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("long")
     return j.agg(
-        F.sum(F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), 1).otherwise(0)).cast("long").alias(names[0]),
-        F.sum(F.when(F.col("_r").isNull(), 1).otherwise(0)).cast("long").alias(names[1]),
-        F.sum(F.when(F.col("_l").isNull(), 1).otherwise(0)).cast("long").alias(names[2]),
+        n((F.col("_l") > 0) & (F.col("_r") > 0)).alias(names[0]),
+        n(F.col("_r") == 0).alias(names[1]),
+        n(F.col("_l") == 0).alias(names[2]),
     )
 
 
+def _sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Per id how many rows each side has: a counted union, combined before the one shuffle."""
+    a = left.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+    b = right.select(key, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    return a.unionByName(b).groupBy(key).agg(F.sum("_a").alias("_l"), F.sum("_b").alias("_r"))
+
+
 def match_outcomes(pred: DataFrame, outcomes: DataFrame, strict: bool = True) -> DataFrame:
-    """Predictions joined to outcomes by id. ``strict`` raises when any id is unmatched."""
+    """Predictions joined to outcomes by id; raises when an outcome id, or a (model, id) of the
+    predictions, occurs twice. ``strict`` raises too when any id is unmatched."""
+    per = [c for c in ("model", "record_id") if c in pred.columns]
+    twice = pred.groupBy(*per).agg(F.count(F.lit(1)).alias("n")).where("n > 1").count(), outcomes.groupBy("record_id").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").count()
+    if any(twice):
+        raise ValueError(f"Improper input: {twice[0]} repeated predictions, {twice[1]} repeated outcomes")
     if strict:
         rep = alignment_report(pred, outcomes).first()
         if rep["only_left"] or rep["only_right"]:

@@ -139,12 +139,12 @@ def session_state(validated: DataFrame, gate_optional: bool = True) -> DataFrame
     marks = validated.where((F.col("action") == "restart") & (F.col("section") == "required")).select(
         "session_id", "seq", F.lit(None).cast("string").alias("section"), F.lit("mark").alias("action"),
         F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"),
-        F.lit(None).cast("double").alias("number"), F.col("seq").cast("double").alias("_mark"),
+        F.lit(None).cast("double").alias("number"), F.col("seq").alias("_mark"),
     )
-    u = subs.withColumn("_mark", F.lit(None).cast("double")).unionByName(marks)
+    u = subs.withColumn("_mark", F.lit(None).cast("long")).unionByName(marks)
     rt = running_totals(u, "seq", [], partition_cols=["session_id"], max_cols=["_mark"])
     rows = rt.where(F.col("action") == "submit").withColumn(
-        "_epoch", F.coalesce(F.col("runmax__mark"), F.lit(-1.0))
+        "_epoch", F.coalesce(F.col("runmax__mark"), F.lit(-(1 << 63)))
     ).drop("_mark", "runmax__mark").persist(StorageLevel.MEMORY_AND_DISK)  # read by both sections
 
     req = rows.where(F.col("section") == "required")
@@ -233,11 +233,19 @@ def progress(answers: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
+def float_text(x: F.Column) -> F.Column:
+    """A double without exponent: shortest digits, at least one decimal (12000000.0, 0.0005)."""
+    shortest = x.cast("string")
+    plain = F.regexp_replace(shortest.try_cast("decimal(38,18)").cast("string"), r"0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    return F.when(shortest.contains("E"), F.coalesce(plain, shortest)).otherwise(shortest)
+
+
 def answer_text(typ, value, number) -> F.Column:
     """The form's text of a captured answer (ints without decimals)."""
     return (
         F.when(typ == "int", number.cast("long").cast("string"))
-        .when(typ == "float", number.cast("string"))
+        .when(typ == "float", float_text(number))
         .otherwise(value)
     )
 
@@ -317,7 +325,7 @@ def answers_to_features(answers: DataFrame, state: DataFrame, legacy_icu: bool =
         "_x", F.coalesce(F.col("number"), safe_float("value")))
     j = st.join(omap, "field", "inner")
     x = F.col("_x")
-    icu = x.cast("int")
+    icu = x.try_cast("int")
     kind = F.col("kind")
     val = (
         F.when(kind == "direct", x)

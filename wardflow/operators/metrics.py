@@ -119,9 +119,10 @@ def cumulative(scored: DataFrame) -> DataFrame:
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Exact ROC-AUC with ties (trapezoids between distinct scores)."""
     c = cumulative(scored)
-    area = F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2.0
+    d = lambda name: F.col(name).cast("double")  # noqa: E731  products of counts pass 2**63
+    area = d("neg") * (2 * d("tp") - d("pos")) / 2.0
     return c.groupBy("model").agg(
-        F.try_divide(F.sum(area), F.first("P") * F.first("N")).alias("auc")
+        F.try_divide(F.sum(area), F.first(d("P")) * F.first(d("N"))).alias("auc")
     )
 
 
@@ -140,15 +141,15 @@ def pr_curve(scored: DataFrame) -> DataFrame:
     c = cumulative(scored)
     return c.select(
         "model", F.col("score").alias("threshold"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         F.try_divide(F.col("tp"), F.col("P")).alias("recall"),
     )
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
-    """AP = sum over distinct scores of (R_n - R_(n-1)) * P_n."""
+    """AP = sum over distinct scores of (R_n - R_(n-1)) * P_n; NULL for a model without positives."""
     c = cumulative(scored)
-    term = F.col("pos") / F.col("P") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    term = F.try_divide(F.col("pos"), F.col("P")) * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
     return c.groupBy("model").agg(F.sum(term).alias("average_precision"))
 
 

@@ -35,8 +35,10 @@ def undersample_majority(df: DataFrame, label_col: str = "label", id_col: str =
 
     The kept majority rows are those with the smallest (hash(id, seed), id):
     an exact count (unlike ``sampleBy``), reproducible in SQL, and ranked
-    with G1 so no single task sorts the majority class.
+    with G1 so no single task sorts the majority class. Rows with a NULL
+    label are of no class: they set no size and are not in the result.
     """
+    df = df.where(F.col(label_col).isNotNull())
     counts = class_counts(df, label_col).collect()  # one row per class
     if len(counts) < 2:
         return df

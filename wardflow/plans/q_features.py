@@ -52,12 +52,11 @@ def feature_medians(spark, sf_dir):
 # --- whole feature table, per split -------------------------------------------------------
 
 def split_records(spark, sf_dir):
-    return SI.event_records(spark, sf_dir).withColumn("split", SI.split_of("record_id"))
+    return SI.all_records(spark, sf_dir).withColumn("split", SI.split_of("record_id"))
 
 
 def all_readings(spark, sf_dir, records):
-    desc = SI.customer_descriptors(spark, sf_dir).join(records.select("record_id"), "record_id", "left_semi")
-    return SI.event_readings(spark, sf_dir).unionByName(desc)
+    return SI.event_readings(spark, sf_dir).unionByName(SI.customer_descriptors(spark, sf_dir))
 
 
 def feature_table_df(spark, sf_dir):
@@ -72,7 +71,7 @@ def feature_names():
 _BIO = ("Age", "Gender", "Height", "Weight")
 _FULL = (
     S.READINGS,
-    S.RECORDS,
+    S.ALL_RECORDS,
     S.DESCRIPTOR_CELLS,
     """rsplit AS (SELECT record_id, """ + S.split_sql("record_id") + """ AS split FROM recs)""",
     """cells AS (

@@ -56,9 +56,13 @@ _OUT_SQL = """outc AS (SELECT user_id AS record_id,
 @query("sequences", _VEC_SQL + ", " + _OUT_SQL + """SELECT v.record_id, [list(CAST(value AS FLOAT) ORDER BY feature)] AS sequence,
   o.label FROM sv v JOIN outc o USING (record_id) GROUP BY v.record_id, o.label""")
 def sequences(spark, sf_dir):
-    """(N, F) -> (N, 1, F) float tensors joined to labels by id, with width/id checks."""
-    v = _vectors(spark, sf_dir).select("record_id", "features")
-    return fx.to_sequences(v, SI.event_outcomes(spark, sf_dir), len(QF.feature_names()))
+    """(N, F) -> (N, 1, F) float tensors joined to labels by id, with width/id checks.
+
+    Records without an outcome (customers without events) have no label to join.
+    """
+    out = SI.event_outcomes(spark, sf_dir)
+    v = _vectors(spark, sf_dir).select("record_id", "features").join(out, "record_id", "left_semi")
+    return fx.to_sequences(v, out, len(QF.feature_names()))
 
 
 def _training(spark, sf_dir):
@@ -135,23 +139,24 @@ def model_comparison(spark, sf_dir):
 def score_answers(spark, sf_dir):
     """F11 + S5 + I6 + P6: form rows -> scaler -> MLP (saved and loaded once) -> RISK band on the raw score.
 
-    The model is fitted on the form rows themselves with the session's latest
-    order status as label (data the driver tables give), saved to the shared
-    folder and loaded back before scoring.
+    Scaler and model are fitted on one third of the sessions (by id hash) with the
+    session's latest order status as label, saved to the shared folder, loaded
+    back, and score the other sessions.
     """
     rows = ik.answers_to_features(QI.answers_df(spark, sf_dir), QI.state_df(spark, sf_dir))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    stats = sc.fit_scaler(rows)
+    rows = rows.withColumnRenamed("session_id", "record_id")
+    learn = F.pmod(F.crc32(F.col("record_id").cast("binary")), F.lit(3)) == 0
     names = ik.model_feature_names()
-    vec = fx.to_vector(sc.apply_scaler(rows.withColumnRenamed("session_id", "record_id"), stats), names)
     o = SI.table(spark, sf_dir, "orders")
     lab = o.groupBy(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("record_id")).agg(
         (F.max_by("o_orderstatus", "o_orderkey") == "F").cast("int").alias("label"))
-    data = mo.with_vector(vec.join(lab, "record_id", "inner"))
-    model = mo.train_mlp(data, len(names), max_iter=30)
+    stats = sc.fit_scaler(rows.where(learn))
+    train = mo.with_vector(fx.to_vector(sc.apply_scaler(rows.where(learn), stats), names).join(lab, "record_id", "inner"))
     path = scratch_path(spark, "form-pipeline")
-    mo.save_pipeline(path, model, stats)
+    mo.save_pipeline(path, mo.train_mlp(train, len(names)), stats)
     model, stats = mo.load_pipeline(spark, path, "mlp")
-    s = mo.positive_score(model, data, "mlp")
+    vec = fx.to_vector(sc.apply_scaler(rows.where(~learn), stats), names)
+    s = mo.positive_score(model, mo.with_vector(vec.join(lab, "record_id", "left")), "mlp")
     band, r3 = risk_band("score", catalog.THRESHOLDS["mlp"][0])
     return s.select(F.col("record_id").alias("session_id"), band.alias("band"), r3.alias("risk_score"))

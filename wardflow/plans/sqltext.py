@@ -24,6 +24,8 @@ CELLS = """cells AS (
 
 RECORDS = "recs AS (SELECT DISTINCT user_id AS record_id FROM events)"
 
+ALL_RECORDS = """recs AS (SELECT user_id AS record_id FROM events UNION SELECT c_custkey AS record_id FROM customer)"""
+
 SPINE = f"""spine AS (
   SELECT r.record_id, v.parameter FROM recs r, {values_list(EVENT_VITALS, 'v', 'parameter')})"""
 

@@ -35,8 +35,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator and only read here. Only when it
-    is unset (a local test session) a scratch folder is created and set.
+    On a cluster this is set by the operator and only read here. A local
+    session without it (tests, bench) gets a scratch folder; a cluster session
+    without it fails, as folders of single machines are not shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -44,6 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     conf = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not conf:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all machines share")
         conf = tempfile.mkdtemp(prefix="wardflow-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, conf)
     sc.setCheckpointDir(conf)
@@ -57,9 +60,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-INLINE_MAX_ROWS = 5000
-
-
 def _sql_literal(v, dt) -> str:
     from pyspark.sql import types as T
 
@@ -82,15 +82,13 @@ def _sql_literal(v, dt) -> str:
 
 def local_frame(spark: SparkSession, rows, schema):
     """A small constant table kept JVM-side: one SQL ``VALUES`` text (a LocalRelation,
-    no Python worker, one driver round trip). Larger inputs use ``createDataFrame``.
+    no Python worker, one driver round trip), for declared constants.
     """
     from pyspark.sql import types as T
 
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     rows = list(rows)
-    if len(rows) > INLINE_MAX_ROWS:
-        return spark.createDataFrame(rows, schema)
     names = [f"`{f.name}`" for f in schema.fields]
     if not rows:
         cols = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {n}" for f, n in zip(schema.fields, names))

@@ -23,11 +23,12 @@ READING_SCHEMA = T.StructType([
 SPLITS = ("a", "b", "c")
 
 
-def _check_split(root: str, split: str) -> str:
+def _check_split(spark: SparkSession, root: str, split: str) -> str:
     if split not in SPLITS:
         raise ValueError(f'split must be one of {", ".join(SPLITS)}')
     path = os.path.join(root, f"set-{split}")
-    if "://" not in root and not os.path.isdir(path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):  # wherever the path lies
         raise FileNotFoundError(f"Dataset directory not found: {path}")
     return path
 
@@ -38,7 +39,7 @@ def read_raw(spark: SparkSession, root: str, splits=SPLITS) -> DataFrame:
     Columns: file, split, t (minutes), parameter, value. Small files are packed
     into partitions by ``spark.sql.files.openCostInBytes``.
     """
-    paths = [os.path.join(_check_split(root, s), "*.txt") for s in splits]
+    paths = [os.path.join(_check_split(spark, root, s), "*.txt") for s in splits]
     df = spark.read.schema(READING_SCHEMA).option("header", True).csv(paths)
     path = F.col("_metadata.file_path")
     return df.select(
@@ -53,6 +54,8 @@ def read_raw(spark: SparkSession, root: str, splits=SPLITS) -> DataFrame:
 def with_record_id(raw: DataFrame, from_content: bool = True) -> DataFrame:
     """Lift each file's ``RecordID`` row to a ``record_id`` column and drop that row.
 
+    A file without such a row, or with two that differ, fails the job: no record is lost silently.
+
     ``from_content`` reads the id from the row (one aggregate per file, joined
     back on the file path); otherwise the numeric file name is used.
     """
@@ -61,9 +64,11 @@ def with_record_id(raw: DataFrame, from_content: bool = True) -> DataFrame:
         rid = F.regexp_extract(F.col("file"), r"([0-9]+)\.txt$", 1).cast("long")
         return body.withColumn("record_id", rid)
     ids = raw.where(F.col("parameter") == "RecordID").groupBy("file").agg(
-        F.max("value").cast("long").alias("record_id")
+        F.min("value").cast("long").alias("_id"), F.max("value").cast("long").alias("_id2")
     )
-    return body.join(ids, "file", "inner")
+    one = F.when(F.col("_id") == F.col("_id2"), F.col("_id")).otherwise(
+        F.raise_error(F.concat(F.lit("no single RecordID in "), F.col("file"))).cast("long"))
+    return body.join(ids, "file", "left").withColumn("record_id", one).drop("_id", "_id2")
 
 
 def read_readings(spark: SparkSession, root: str, splits=SPLITS) -> DataFrame:

@@ -65,6 +65,12 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("record_id")).distinct()
 
 
+def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of ``events`` and all customers: most customers have descriptors only."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("record_id")).unionByName(keys).distinct()
+
+
 def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """label = 1 when the user's latest event is an error."""
     ev = table(spark, sf_dir, "events")
