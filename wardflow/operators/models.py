@@ -17,7 +17,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow import catalog
@@ -85,9 +85,9 @@ def calibrate(model: IsotonicRegressionModel, scored: DataFrame) -> DataFrame:
 def staged_scores(model: GBTClassificationModel, df: DataFrame, name: str = "gbt") -> DataFrame:
     """M4 + W2: probability after every boosting round.
 
-    Each tree predicts JVM-side; the weighted contributions are exploded to
-    ``(record_id, stage)`` rows and summed with a running window per record
-    (its partition holds one row per tree). p = 1 / (1 + exp(-2 F)).
+    Each tree predicts JVM-side; a record's weighted contributions are one array,
+    folded to its running sums in place and then exploded to ``(record_id,
+    stage)`` rows: no exchange. p = 1 / (1 + exp(-2 F)).
     """
     trees = model.trees
     weights = model.treeWeights
@@ -98,14 +98,14 @@ def staged_scores(model: GBTClassificationModel, df: DataFrame, name: str = "gbt
         t.setFeaturesCol("features")
         t.setPredictionCol(f"_t{i}")
         x = t.transform(x)
-        cols.append(F.struct(F.lit(i + 1).alias("stage"), (F.col(f"_t{i}") * F.lit(float(weights[i]))).alias("c")))
-    long = x.select("record_id", "label", F.explode(F.array(*cols)).alias("s")).select(
-        "record_id", "label", "s.stage", "s.c")
-    w = Window.partitionBy("record_id").orderBy("stage").rowsBetween(Window.unboundedPreceding, 0)
-    margin = F.sum("c").over(w)
+        cols.append(F.col(f"_t{i}") * F.lit(float(weights[i])))
+    sums = F.aggregate(
+        F.array(*cols), F.array().cast("array<double>"),
+        lambda s, c: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + c)))
+    long = x.select("record_id", "label", F.posexplode(sums).alias("i", "margin"))
     return long.select(
-        F.lit(name).alias("model"), "record_id", "label", "stage",
-        (1 / (1 + F.exp(-2 * margin))).alias("score"),
+        F.lit(name).alias("model"), "record_id", "label", (F.col("i") + 1).alias("stage"),
+        (1 / (1 + F.exp(-2 * F.col("margin")))).alias("score"),
     )
 
 

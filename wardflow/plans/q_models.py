@@ -10,7 +10,6 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from wardflow import catalog
-from wardflow.functions.scalar import risk_band
 from wardflow.operators import features as fx
 from wardflow.operators import intake as ik
 from wardflow.operators import metrics as me
@@ -24,6 +23,7 @@ from wardflow.plans import sqltext as S
 from wardflow.plans.registry import query, rounded, stable
 from wardflow.session import scratch_path
 from wardflow.sources import standins as SI
+from wardflow.streaming.streams import score_rows
 
 
 def _scaled_long(spark, sf_dir):
@@ -156,7 +156,12 @@ def score_answers(spark, sf_dir):
     path = scratch_path(spark, "form-pipeline")
     mo.save_pipeline(path, mo.train_mlp(train, len(names)), stats)
     model, stats = mo.load_pipeline(spark, path, "mlp")
-    vec = fx.to_vector(sc.apply_scaler(rows.where(~learn), stats), names)
-    s = mo.positive_score(model, mo.with_vector(vec.join(lab, "record_id", "left")), "mlp")
-    band, r3 = risk_band("score", catalog.THRESHOLDS["mlp"][0])
-    return s.select(F.col("record_id").alias("session_id"), band.alias("band"), r3.alias("risk_score"))
+    return score_rows(rows.where(~learn).withColumnRenamed("record_id", "session_id"), model, stats, names, catalog.THRESHOLDS["mlp"][0])
+
+
+@query("stacked_rows", S.with_(*QF._FULL) + "SELECT record_id, split, feature, round(value, 9) AS value FROM ftab "
+       "WHERE split IN ('a', 'c')")
+def stacked_rows(spark, sf_dir):
+    """Training and validation rows stacked, as the final fit reads them."""
+    ft = QF.feature_table_df(spark, sf_dir)
+    return stable(ft.where(F.col("split") == "a").unionByName(ft.where(F.col("split") == "c")).select("record_id", "split", "feature", "value"))

@@ -32,6 +32,14 @@ def validate_stream(spark, sf_dir):
     return st.read_all(spark, out).select("session_id", "seq", "field", "ok", "value", "number", "message")
 
 
+@query("feature_stream", rounded(QI._features_sql(False), ["value"]))
+def feature_stream(spark, sf_dir):
+    """T1 + F10: answers validated as they arrive and turned into model rows; equals the batch rows."""
+    out = st.stream_out(spark, "feature-stream")
+    st.feature_stream(_answers_stream(spark, sf_dir), out)
+    return stable(st.read_latest(spark, out, ["session_id", "feature"]))
+
+
 @query("session_stream", QI._WITH_STATE.replace(
     "WHERE e.section = 'optional' AND e.seq > c.done", "WHERE e.section = 'optional'").replace(
     "JOIN comp c ON c.session_id = e.session_id AND c.epoch = e.epoch", "")

@@ -56,4 +56,4 @@ def rounded(sql: str, cols: list[str]) -> str:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from wardflow.plans import q_features, q_eval, q_intake, q_models, q_streams  # noqa: F401
+    from wardflow.plans import q_features, q_eval, q_intake, q_models, q_sources, q_streams  # noqa: F401

@@ -33,18 +33,19 @@ def _check_split(spark: SparkSession, root: str, split: str) -> str:
     return path
 
 
-def read_raw(spark: SparkSession, root: str, splits=SPLITS) -> DataFrame:
+def read_raw(spark: SparkSession, root: str, splits=SPLITS, files: str = "*.txt") -> DataFrame:
     """S1 + U1: all record files of the given splits in one scan.
 
     Columns: file, split, t (minutes), parameter, value. Small files are packed
-    into partitions by ``spark.sql.files.openCostInBytes``.
+    into partitions by ``spark.sql.files.openCostInBytes``. ``files`` names them
+    inside a split's folder.
     """
-    paths = [os.path.join(_check_split(spark, root, s), "*.txt") for s in splits]
+    paths = [os.path.join(_check_split(spark, root, s), files) for s in splits]
     df = spark.read.schema(READING_SCHEMA).option("header", True).csv(paths)
     path = F.col("_metadata.file_path")
     return df.select(
         path.alias("file"),
-        F.regexp_extract(path, r"set-([a-z])/[^/]*$", 1).alias("split"),
+        F.regexp_extract(path, r"set-([a-z])/", 1).alias("split"),
         to_minutes("Time").alias("t"),
         F.col("Parameter").alias("parameter"),
         F.col("Value").alias("value"),
@@ -71,9 +72,9 @@ def with_record_id(raw: DataFrame, from_content: bool = True) -> DataFrame:
     return body.join(ids, "file", "left").withColumn("record_id", one).drop("_id", "_id2")
 
 
-def read_readings(spark: SparkSession, root: str, splits=SPLITS) -> DataFrame:
+def read_readings(spark: SparkSession, root: str, splits=SPLITS, files: str = "*.txt") -> DataFrame:
     """S1 + S2: ``(split, record_id, t, parameter, value)`` for the splits."""
-    return with_record_id(read_raw(spark, root, splits)).select("split", "record_id", "t", "parameter", "value")
+    return with_record_id(read_raw(spark, root, splits, files)).select("split", "record_id", "t", "parameter", "value")
 
 
 def compact_readings(readings: DataFrame, out: str) -> str:

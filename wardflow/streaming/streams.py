@@ -15,8 +15,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.functions.scalar import mask_sentinel
+from wardflow.functions.scalar import mask_sentinel, risk_band
+from wardflow.operators import features as fx
 from wardflow.operators import intake as ik
+from wardflow.operators import models as mo
+from wardflow.operators import scale as sc
 from wardflow.session import scratch_path
 
 
@@ -67,6 +70,40 @@ def validate_stream(answers: DataFrame) -> DataFrame:
     return ik.validate(answers)
 
 
+def feature_stream(answers: DataFrame, out: str, name: str = "t1") -> str:
+    """Model rows of every session that a batch of answers touches, with all its answers so far.
+
+    Each batch is validated and kept under ``out/answers``; the touched sessions
+    are replayed whole (optional gate included) and their rows written under
+    ``out/data``, both by batch id, so a replayed batch rewrites the same rows.
+    """
+    spark = answers.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ik.validate(batch, batch.sparkSession).write.mode("overwrite").parquet(os.path.join(out, "answers", f"batch={batch_id}"))
+        seen = batch.sparkSession.read.parquet(os.path.join(out, "answers")).where(F.col("batch") <= batch_id).drop("batch")
+        now = batch.sparkSession.read.parquet(os.path.join(out, "answers", f"batch={batch_id}")).select("session_id").distinct()
+        mine = seen.join(now, "session_id", "left_semi")
+        rows = ik.answers_to_features(mine, ik.session_state(mine))
+        rows.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(os.path.join(out, "data", f"batch={batch_id}"))
+
+    q = (
+        answers.writeStream.option("checkpointLocation", os.path.join(out, "checkpoint"))
+        .foreachBatch(write).trigger(availableNow=True)
+        .queryName(f"{name}_{os.path.basename(out).replace('-', '_')}").start()
+    )
+    q.awaitTermination()
+    return out
+
+
+def score_rows(rows: DataFrame, model, stats: DataFrame, names: list[str], threshold: float) -> DataFrame:
+    """T1 + F11: scale and score model rows (long) with a saved model: ``(session_id, band, risk_score)``."""
+    rows = rows.withColumnRenamed("session_id", "record_id")
+    vec = mo.with_vector(fx.to_vector(sc.apply_scaler(rows, stats), names).withColumn("label", F.lit(None).cast("int")))
+    band, r3 = risk_band("score", threshold)
+    return mo.positive_score(model, vec, "mlp").select(F.col("record_id").alias("session_id"), band.alias("band"), r3.alias("risk_score"))
+
+
 def session_stream(validated: DataFrame) -> DataFrame:
     """Submissions folded per (session, field) in update mode.
 
