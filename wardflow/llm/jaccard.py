@@ -16,8 +16,8 @@ of sizes. Steps:
    allows. One proposal per node is verified on the sets, and links are contracted to components.
 4. Search. Blocks that still hold several components are cut into tiles of bounded size (a block of P
    parts makes a tile of each two parts) and packed into R-trees (nodes of 16, corners of maxima). Every point
-   searches its tree for points of other components whose bound allows a link, and these pairs are
-   verified on the sets at once. Pairs inside a component, found so far, need no test: a link between
+   searches its tree for points of other components whose bound allows a link; nodes with such points fetch
+   their sets, and the pairs are verified on them tile by tile. Pairs inside a component, found so far, need no test: a link between
    them changes nothing. So no link is lost, and copies are never expanded into pairs.
 
 Verification reads only the texts of nodes in question; the rows to read are found through a bit table
@@ -248,13 +248,25 @@ def linked(s: np.ndarray, t: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(s) + len(t) - common)
 
 
+def candidates(rows: list[tuple[int, int, int, bytes]], crossing: bool) -> list[int]:
+    """Nodes among ``(node, comp, part, vector)`` whose bound allows a link to one of another component;
+    with ``crossing`` only pairs of different parts are this tile's."""
+    if len({r[1] for r in rows}) < 2:
+        return []
+    vecs = [np.frombuffer(r[3], np.uint8) for r in rows]
+    tree, hits = Tree(np.array([int(v.sum(dtype=np.int64)) for v in vecs]), vecs), set()
+    for i, (node, comp, part, _) in enumerate(rows):
+        for j in tree.after(i):
+            other, comp2, part2, _ = rows[j]
+            if comp != comp2 and not (crossing and part == part2):
+                hits.update((node, other))
+    return sorted(hits)
+
+
 def tile_links(rows: list[tuple[int, int, int, bytes]], crossing: bool) -> list[tuple[int, int]]:
     """Links between different components among ``(node, comp, part, set)``, as few as join them; with
     ``crossing`` only pairs of different parts are this tile's."""
-    if len({r[1] for r in rows}) < 2:
-        return []
-    rows = sorted(((np.frombuffer(r[3], np.uint64), r) for r in rows), key=lambda x: (len(x[0]), x[1][0]))
-    sets = [s for s, _ in rows]
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
     tree = Tree(np.array([len(s) for s in sets]), [vector(s) for s in sets])
     up: dict[int, int] = {}
 
@@ -265,39 +277,67 @@ def tile_links(rows: list[tuple[int, int, int, bytes]], crossing: bool) -> list[
         return c
 
     out = []
-    for i, (s, (node, comp, part, _)) in enumerate(rows):
+    for i, (node, comp, part, _) in enumerate(rows):
         for j in tree.after(i):
-            other, comp2, part2, _ = rows[j][1]
+            other, comp2, part2, _ = rows[j]
             a, b = root(comp), root(comp2)
-            if a != b and not (crossing and part == part2) and linked(s, sets[j]):
+            if a != b and not (crossing and part == part2) and linked(sets[i], sets[j]):
                 up[max(a, b)] = min(a, b)
                 out.append((node, other))
     return out
 
 
-def _tile_search(members: DataFrame, full: DataFrame) -> DataFrame:
-    """``a, b``: links that join different components of a block. ``members``: anchor, node, comp, parts."""
+def _by_tile(tiled: DataFrame, load: str, schema: str, work) -> DataFrame:
+    """``work(rows, crossing)`` on each tile (anchor, i, j), rows ``(node, comp, part, load)`` in order of size."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(it):
         tile, rows, out = None, [], []
+
+        def close():
+            if rows:
+                out.extend((*tile, x) if len(names) > 2 else x for x in work(rows, tile[1] != tile[2]))
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=names)
+
         for b in it:
             for anchor, i, j, node, comp, part, raw in zip(*(c.to_pylist() for c in b.columns)):
                 if (anchor, i, j) != tile:
-                    out.extend(tile_links(rows, tile is not None and tile[1] != tile[2]))
+                    close()
                     tile, rows = (anchor, i, j), []
                 rows.append((node, comp, part, raw))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=["a", "b"])
+                yield batch()
                 out = []
-        out.extend(tile_links(rows, tile is not None and tile[1] != tile[2]))
+        close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=["a", "b"])
+            yield batch()
+
+    dealt = tiled.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "n", "node")
+    return dealt.select("anchor", "i", "j", "node", "comp", "part", load).mapInArrow(run, schema)
+
+
+def _tiles(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of blocks with several components, once per tile: anchor, i, j, node, n, comp, part, vec."""
+    labelled = members.join(comp, "node", "left").select("anchor", "node", "n", "vec", F.coalesce("comp", "node").alias("comp"))
+    labelled = cut(labelled, "jaccard-labelled")
+    mixed = labelled.groupBy("anchor").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
+    tiled = labelled.join(mixed.select("anchor", F.ceil(F.col("k") / TILE).cast("long").alias("parts")), "anchor")
+    tiled = tiled.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    tiled = tiled.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return tiled.select("anchor", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "node", "n", "comp", "part", "vec")
 
-    tiled = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    tiled = tiled.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    tiled = tiled.select("anchor", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "node", "comp", "part")
-    dealt = tiled.join(full, "node").select("anchor", "i", "j", "node", "comp", "part", "s")
-    return _ordered(dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(run, "a long, b long"))
+
+def _tile_search(docs: DataFrame, sets: DataFrame, members: DataFrame, comp: DataFrame) -> DataFrame:
+    """``a, b``: links that join different components of a block. The index on vectors says which nodes
+    need their sets; only these are fetched and verified."""
+    tiled = cut(_tiles(members, comp), "jaccard-tiles")
+    where = ["anchor", "i", "j", "node"]
+    found = cut(_by_tile(tiled, "vec", "anchor long, i long, j long, node long", candidates), "jaccard-candidates")
+    full = _full_sets(docs, sets, found.select("node").distinct())
+    wanted = tiled.drop("vec").join(found, where).join(full, "node")
+    return _ordered(_by_tile(wanted, "s", "a long, b long", tile_links))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -367,14 +407,11 @@ def join(docs: DataFrame) -> DataFrame:
     sets = cut(shingle_sets(docs, levels(docs)), "jaccard-sets")
     points = sets.where("vec is not null").dropDuplicates(["node"]).select("node", "n", "vec")
     members = cut(_blocks(sets).join(points, "node"), "jaccard-members")
-    full = _full_sets(docs, sets, members.select("node").distinct())
-    tried = _centre_pairs(members).groupBy("b").agg(F.min("a").alias("a"))
-    links = cut(_verified(full, tried), "jaccard-links")
+    tried = cut(_centre_pairs(members).groupBy("b").agg(F.min("a").alias("a")), "jaccard-tried")
+    nodes = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
+    links = cut(_verified(_full_sets(docs, sets, nodes), tried), "jaccard-links")
     comp = cut(components(links), "jaccard-comp")
-    labelled = cut(members.select("anchor", "node").join(comp, "node", "left").select("anchor", "node", F.coalesce("comp", "node").alias("comp")), "jaccard-labelled")
-    mixed = labelled.groupBy("anchor").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
-    mixed = mixed.select("anchor", F.ceil(F.col("k") / TILE).cast("int").alias("parts"))
-    more = cut(_tile_search(labelled.join(mixed, "anchor"), full), "jaccard-more")
+    more = cut(_tile_search(docs, sets, members, comp), "jaccard-more")
     if not more.isEmpty():
         comp = cut(components(links.unionByName(more)), "jaccard-comp")
     least = sets.groupBy("node").agg(F.min("doc_id").alias("d"), F.first("n").alias("n"))
