@@ -26,7 +26,7 @@ def test_shards_are_even_and_copies_lie_together(spark):
     size = rows.groupby("shard")["size"].sum()
     assert len(size) == 6 and size.max() - size.min() <= 2 * rows["size"].max()
     order = rows.sort_values(["shard", "slot"])["text"].str.startswith("same").to_numpy()
-    assert np.flatnonzero(order).ptp() == 299 if hasattr(np.ndarray, "ptp") else np.ptp(np.flatnonzero(order)) == 299
+    assert np.ptp(np.flatnonzero(order)) == 299
 
 
 def test_shard_edge_cases(spark):

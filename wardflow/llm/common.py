@@ -49,12 +49,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(write_shared(df, name))
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate of :func:`write_shared` that no later job reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def crc_mod(col: Column | str, mod: int) -> Column:
     """``crc32(id as text) mod m``, the rule that fixes held-out rows (a null id counts as empty text)."""
     c = F.col(col) if isinstance(col, str) else col

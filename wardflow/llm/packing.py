@@ -95,7 +95,7 @@ def pack_histogram(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple
 
     Lengths go longest first, each into the pack patterns with the most room; where a pattern has
     more copies than pieces are left, its copies are split into two patterns. Within a pattern as
-    many of one length are placed at once as fit and are there.
+    many pieces are placed at once as it has copies.
     """
     heap: list[tuple[int, int, int, list]] = []  # (-room, order, copies, content)
     order = 0
@@ -113,8 +113,7 @@ def pack_histogram(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple
                 heapq.heappush(heap, (neg + length, order, take, grown))
                 left -= take
             else:
-                per = 1
-                heapq.heappush(heap, (length * per - max_len, order, left, [(length, per)]))
+                heapq.heappush(heap, (length - max_len, order, left, [(length, 1)]))
                 left = 0
     return [(copies, content) for _, _, copies, content in sorted(heap, key=lambda x: x[1])]
 
