@@ -23,7 +23,6 @@ VITALS: tuple[str, ...] = (
 )
 
 # Parameters that are record descriptors, not vitals.
-DESCRIPTORS: tuple[str, ...] = ("RecordID", "Age", "Gender", "Height", "ICUType", "Weight")
 BIOMETRICS: tuple[str, ...] = ("Age", "Gender", "Height", "Weight")
 CONTINUOUS_BIOMETRICS: tuple[str, ...] = ("Age", "Height", "Weight")
 
@@ -119,8 +118,6 @@ _FIELDS = [
 # Messages of the field validator.
 MSG_NUMERIC = "Please enter a numeric value."
 MSG_INTEGER = "Please enter an integer."
-MSG_MIN = "Value must be >= {}."
-MSG_MAX = "Value must be <= {}."
 MSG_CHOOSE = "Please choose a value."
 MSG_ALLOWED = "Allowed values: {}."
 MSG_TEXT = "Please provide text."

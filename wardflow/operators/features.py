@@ -246,12 +246,6 @@ def to_sequences(vectors: DataFrame, labels: DataFrame, n_features: int) -> Data
     )
 
 
-def first_by_time(df: DataFrame, key: str, time_col: str) -> DataFrame:
-    """The earliest row per key (an aggregate, not a window)."""
-    others = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(time_col)).alias("r")).select(key, "r.*")
-
-
 DESCRIPTOR_NAMES = ("Age", "Gender", "Height", "ICUType", "Weight")
 
 

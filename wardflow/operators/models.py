@@ -57,13 +57,13 @@ def weight_correction(scored: DataFrame, w0: float, w1: float) -> DataFrame:
     return scored.withColumn("score", (F.lit(w1) * p) / (F.lit(w1) * p + F.lit(w0) * (1 - p)))
 
 
-def fit_isotonic(scored: DataFrame, decimals: int | None = None) -> IsotonicRegressionModel:
+def fit_isotonic(scored: DataFrame, decimals: int | None = 4) -> IsotonicRegressionModel:
     """M6 fit: monotone map score -> observed rate (ties averaged).
 
     The fit pools its per-partition results on the driver, so the input is
-    first reduced to one weighted point per distinct score (exact: tied
-    scores are averaged by the fit anyway). ``decimals`` rounds scores first
-    to bound that size when raw scores are nearly all distinct.
+    first reduced to one weighted point per distinct score (tied scores are
+    averaged by the fit anyway). Scores in [0, 1] are rounded to ``decimals``
+    first, so at most 10**decimals + 1 points meet there; None keeps them all.
     """
     s = F.col("score").cast("double")
     if decimals is not None:

@@ -93,7 +93,11 @@ val AS (SELECT session_id, seq, section, action, field, raw_value, type,
     CASE WHEN action = 'submit' AND msg IS NULL AND type IN ('int', 'float') THEN num END AS number,
     coalesce(msg, '') AS message FROM v1)"""
 
-_STATE = f"""subs AS (SELECT * FROM val WHERE action = 'submit' AND ok),
+def _state_sql(gate: bool = True) -> str:
+    """The replay; without ``gate`` every valid optional answer counts."""
+    gated = ("JOIN comp c ON c.session_id = e.session_id AND c.epoch = e.epoch WHERE e.section = 'optional' AND e.seq > c.done"
+             if gate else "WHERE e.section = 'optional'")
+    return f"""subs AS (SELECT * FROM val WHERE action = 'submit' AND ok),
 marks AS (SELECT session_id, seq FROM val WHERE action = 'restart' AND section = 'required'),
 ep AS (SELECT s.*, coalesce((SELECT max(m.seq) FROM marks m WHERE m.session_id = s.session_id AND m.seq < s.seq), -1)
     AS epoch FROM subs s),
@@ -101,7 +105,7 @@ firsts AS (SELECT session_id, epoch, field, min(seq) AS f FROM ep WHERE section
 comp AS (SELECT session_id, epoch, max(f) AS done FROM firsts GROUP BY ALL HAVING count(*) = {len(catalog.REQUIRED_FIELDS)}),
 kept AS (SELECT session_id, seq, section, 'submit' AS action, field, value, number FROM ep WHERE section = 'required'
   UNION ALL SELECT e.session_id, e.seq, e.section, 'submit', e.field, e.value, e.number
-    FROM ep e JOIN comp c ON c.session_id = e.session_id AND c.epoch = e.epoch WHERE e.section = 'optional' AND e.seq > c.done
+    FROM ep e {gated}
   UNION ALL SELECT r.session_id, r.seq, r.section, 'restart', c.field, NULL, NULL
     FROM val r JOIN cat c ON c.section = r.section WHERE r.action = 'restart'),
 st AS (SELECT session_id, field, arg_max({{'action': action, 'section': section, 'value': value, 'number': number}}, seq) AS s,
@@ -110,8 +114,10 @@ state AS (SELECT session_id, field, s.section AS section, s.value AS value, s.nu
   FROM st WHERE s.action = 'submit'),
 sess AS (SELECT DISTINCT session_id FROM ans)"""
 
+
 _BASE = S.with_(_cat_sql(), _answers_sql(), _VAL)
-_WITH_STATE = S.with_(_cat_sql(), _answers_sql(), _VAL, _STATE)
+_WITH_STATE = S.with_(_cat_sql(), _answers_sql(), _VAL, _state_sql())
+_UNGATED = S.with_(_cat_sql(), _answers_sql(), _VAL, _state_sql(gate=False))
 
 
 def answers_df(spark, sf_dir):

@@ -31,9 +31,10 @@ def _scaled_long(spark, sf_dir):
     return sc.apply_scaler(ft, sc.fit_scaler(ft.where(F.col("split") == "a")))
 
 
-def _vectors(spark, sf_dir):
-    """(record_id, split, features array<double>) of scaled features, fixed order."""
-    v = fx.to_vector(stable(_scaled_long(spark, sf_dir)), QF.feature_names())
+def _vectors(spark, sf_dir, rounded_values: bool = True):
+    """(record_id, split, features array<double>) of scaled features, fixed order (rounded for the oracles only)."""
+    long = _scaled_long(spark, sf_dir)
+    v = fx.to_vector(stable(long) if rounded_values else long, QF.feature_names())
     return v.join(QF.split_records(spark, sf_dir), "record_id", "inner")
 
 
@@ -67,7 +68,7 @@ def sequences(spark, sf_dir):
 
 def _training(spark, sf_dir):
     """Scaled vectors with labels, per split (a = train, b = test, c = validation)."""
-    v = _vectors(spark, sf_dir).join(SI.event_outcomes(spark, sf_dir), "record_id", "inner")
+    v = _vectors(spark, sf_dir, rounded_values=False).join(SI.event_outcomes(spark, sf_dir), "record_id", "inner")
     return mo.with_vector(v).select("record_id", "split", "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
 
 

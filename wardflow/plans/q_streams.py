@@ -40,10 +40,7 @@ def feature_stream(spark, sf_dir):
     return stable(st.read_latest(spark, out, ["session_id", "feature"]))
 
 
-@query("session_stream", QI._WITH_STATE.replace(
-    "WHERE e.section = 'optional' AND e.seq > c.done", "WHERE e.section = 'optional'").replace(
-    "JOIN comp c ON c.session_id = e.session_id AND c.epoch = e.epoch", "")
-    + "SELECT session_id, field, section, value, number, seq FROM state")
+@query("session_stream", QI._UNGATED + "SELECT session_id, field, section, value, number, seq FROM state")
 def session_stream(spark, sf_dir):
     """Per-session answers folded in update mode (no optional gate)."""
     out = st.stream_out(spark, "session-stream")

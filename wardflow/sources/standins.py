@@ -131,11 +131,6 @@ def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", "record_id", "label", "pred", "score")
 
 
-def order_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("record_id"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
-
-
 def doc_labels(spark: SparkSession, sf_dir: str, column: str = "toxic") -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_id"), F.col(column).alias("label"))
 
