@@ -319,24 +319,24 @@ def _by_tile(tiled: DataFrame, load: str, schema: str, work) -> DataFrame:
 
 
 def _tiles(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of blocks with several components, once per tile: anchor, i, j, node, n, comp, part, vec."""
-    labelled = members.join(comp, "node", "left").select("anchor", "node", "n", "vec", F.coalesce("comp", "node").alias("comp"))
+    """Members of blocks with several components, once per tile: anchor, i, j, node, comp, part."""
+    labelled = members.join(comp, "node", "left").select("anchor", "node", F.coalesce("comp", "node").alias("comp"))
     labelled = cut(labelled, "jaccard-labelled")
     mixed = labelled.groupBy("anchor").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
     tiled = labelled.join(mixed.select("anchor", F.ceil(F.col("k") / TILE).cast("long").alias("parts")), "anchor")
     tiled = tiled.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     tiled = tiled.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return tiled.select("anchor", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "node", "n", "comp", "part", "vec")
+    return tiled.select("anchor", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "node", "comp", "part")
 
 
-def _tile_search(docs: DataFrame, sets: DataFrame, members: DataFrame, comp: DataFrame) -> DataFrame:
+def _tile_search(docs: DataFrame, sets: DataFrame, members: DataFrame, points: DataFrame, comp: DataFrame) -> DataFrame:
     """``a, b``: links that join different components of a block. The index on vectors says which nodes
     need their sets; only these are fetched and verified."""
     tiled = cut(_tiles(members, comp), "jaccard-tiles")
     where = ["anchor", "i", "j", "node"]
-    found = cut(_by_tile(tiled, "vec", "anchor long, i long, j long, node long", candidates), "jaccard-candidates")
+    found = cut(_by_tile(tiled.join(points, "node"), "vec", "anchor long, i long, j long, node long", candidates), "jaccard-candidates")
     full = _full_sets(docs, sets, found.select("node").distinct())
-    wanted = tiled.drop("vec").join(found, where).join(full, "node")
+    wanted = tiled.join(found, where).join(full.withColumn("n", F.octet_length("s")), "node")
     return _ordered(_by_tile(wanted, "s", "a long, b long", tile_links))
 
 
@@ -405,13 +405,13 @@ def join(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = cut(shingle_sets(docs, levels(docs)), "jaccard-sets")
-    points = sets.where("vec is not null").dropDuplicates(["node"]).select("node", "n", "vec")
-    members = cut(_blocks(sets).join(points, "node"), "jaccard-members")
-    tried = cut(_centre_pairs(members).groupBy("b").agg(F.min("a").alias("a")), "jaccard-tried")
+    points = cut(sets.where("vec is not null").dropDuplicates(["node"]).select("node", "n", "vec"), "jaccard-points")
+    members = cut(_blocks(sets), "jaccard-members")
+    tried = cut(_centre_pairs(members.join(points, "node")).groupBy("b").agg(F.min("a").alias("a")), "jaccard-tried")
     nodes = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
     links = cut(_verified(_full_sets(docs, sets, nodes), tried), "jaccard-links")
     comp = cut(components(links), "jaccard-comp")
-    more = cut(_tile_search(docs, sets, members, comp), "jaccard-more")
+    more = cut(_tile_search(docs, sets, members, points, comp), "jaccard-more")
     if not more.isEmpty():
         comp = cut(components(links.unionByName(more)), "jaccard-comp")
     least = sets.groupBy("node").agg(F.min("doc_id").alias("d"), F.first("n").alias("n"))
