@@ -125,12 +125,12 @@ def test_windows_cover_every_word():
 
 def test_toxicity_learns_and_defines_edges(spark):
     bad = ["fool", "scum", "idiot"]
-    rows = [(i, prose(40 + i % 60, i) + (f" {bad[i % 3]}!! {prose(5, i)}" if i % 2 else "")) for i in range(240)]
+    rows = [(i, prose(40 + i % 60, i) + (f" {bad[i // 2 % 3]}!! {prose(5, i)}" if i % 2 else "")) for i in range(800)]
     rows += [(1000, None), (1001, ""), (1002, "word " * 5000)]
-    labels = spark.createDataFrame([(i, i % 2) for i in range(240)] + [(None, 1), (5, None), (7, 0)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(800)] + [(None, 1), (5, None), (7, 0)], "doc_id long, toxic int")
     got = {r["doc_id"]: r for r in toxicity.detect(documents(spark, rows), labels).collect()}
-    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert {i for i, r in got.items() if r["held_out"] and i < 240} == set(held)
+    held = [i for i in range(800) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {i for i, r in got.items() if r["held_out"] and i < 800} == set(held)
     assert np.mean([got[i]["predicted"] == i % 2 for i in held]) > 0.85
     assert got[1000]["score"] == got[1001]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
     one = toxicity.detect(documents(spark, rows), labels.where("toxic = 1")).collect()
