@@ -174,3 +174,22 @@ def test_lm_query_beats_the_base_on_held_out_rows(spark):
     got = queries.op10_lm_score(spark, SF).toPandas()
     held = got[got["held_out"]]
     assert held["score"].sum() > held["base_score"].sum()
+
+
+def test_lm_keeps_pairs_of_rare_words(spark):
+    """Words beyond the classes of their own, alike in their last letters: only word pairs tell the two texts apart."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(lm.CLASSES)]
+    rare = [f"r{i}x" for i in range(120)]
+    follows = dict(zip(rare, rng.sample(rare, len(rare))))
+    rows = [(i, " ".join(common[j : j + 400] * 2)) for i, j in enumerate(range(0, len(common), 400))]
+    rows += [(100 + i, f"{w} {follows[w]}") for i, w in enumerate(rare)]
+    ids = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    seen, other = rare[:40], rare[40:80]
+    rows += [(ids[0], " ".join(f"{w} {follows[w]}" for w in seen)), (ids[1], " ".join(f"{w} {follows[x]}" for w, x in zip(seen, other)))]
+    scores = []
+    for frequent, pairs in ((lm.FREQUENT, lm.FREQUENT_PAIRS), (20, 20)):
+        got = {r["doc_id"]: r["score"] for r in lm.score(documents(spark, rows), frequent=frequent, frequent_pairs=pairs).collect()}
+        assert got[ids[0]] > got[ids[1]] + 10
+        scores.append(got)
+    assert all(abs(scores[0][i] - scores[1][i]) < 0.03 * abs(scores[0][i]) for i in scores[0])
