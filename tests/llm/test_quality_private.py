@@ -108,3 +108,20 @@ def test_redaction_covers_overlaps(spark):
 def test_private_query_uses_no_python(spark):
     plan = queries.op5_private(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_disclosing_terms_of_rare_entities_anywhere_in_the_row(spark):
+    """Far from the entity, of few letters, and of values that share no more than their domain."""
+    far = " ".join(["we met again at the usual place"] * 10)
+    rows = [(i, f"{prose(5, i)} Bob4 {far} write to bob@two.org") for i in range(2)]
+    rows += [(10 + i, f"Ana {far} write to p{i}@small.example") for i in range(4)]
+    rows += [(20, f"Solo {far} write to solo@one.net")]
+    rows += [(100 + i, f"{prose(20, 200 + i)} {far} write to us") for i in range(200)]
+    docs = documents(spark, rows)
+    found = {r["doc_id"]: r["spans"] for r in private.report(docs).collect()}
+    for i, t in rows:
+        for name in ("Bob4", "Ana"):
+            a = t.find(name)
+            assert a < 0 or f":{a}:{a + len(name)}" in found[i]
+        assert all(f":{m.start()}:{m.end()}" not in found[i] for m in re.finditer("we|met|write|to|Solo", t))
+        assert i < 100 or found[i] == ""

@@ -1,14 +1,20 @@
 """Personal data (operator 5): patterns, then information-theoretic sanitisation; built-in functions only.
 
 Base spans (e-mail, IP address, card, phone) come from patterns. Each distinct value found is a protected
-entity c. Terms (runs of at least ``TERM_LETTERS`` letters) near it may give it away: over the whole
-corpus, with probabilities as shares of rows,
+entity c, and so is its group (``GROUPS``: e-mail domain, IP network, number prefix), which speaks for values
+too rare to be counted. Terms (runs of at least ``TERM_LETTERS`` letters or digits) in its rows may give it
+away: over the whole corpus, with probabilities as shares of rows,
 
-    disclosure(c, t) = PMI(c; t) / IC(c) = log(N n_ct / (n_c n_t)) / log(N / n_c)
+    disclosure(c, t) = PMI(c; t) / IC(c) = log(p(c | t) / p(c)) / log(1 / p(c))
 
-where n_ct counts rows in which t stands within ``CONTEXT`` characters of c. With at least
-``SUPPORT`` such rows, a term of disclosure ``GENERALISE`` or more is generalised, from ``REMOVE``
-on it is removed, everywhere in the rows that hold the entity. Base spans always stay.
+where n_ct counts rows that hold both, wherever they stand. What a row may disclose is estimated from the other
+rows, p(c) = (n_c - 1) / (N - 1), and shrunk towards no link by ``PRIOR`` rows:
+
+    p(c | t) = (n_ct - 1 + PRIOR p(c)) / (n_t - 1 + PRIOR)
+
+so a value or group that occurs in one row only flags nothing, for lack of any other row. A term of disclosure
+``GENERALISE`` or more is generalised, from ``REMOVE`` on it is removed, everywhere in the rows that hold the
+entity. Base spans always stay.
 
 The first pass runs over all rows and writes them with their base spans; all later steps but the
 count of rows per term touch only rows with an entity. Counting is by keys with partial sums.
@@ -42,7 +48,14 @@ VALID = {
     "phone": "length(regexp_replace(x.value, '[^0-9]', '')) between 8 and 15",
 }
 SPAN = "array<struct<k: int, kind: string, start: int, end: int, value: string>>"
-CONTEXT, TERM_LETTERS, SUPPORT, GENERALISE, REMOVE = 100, 4, 3, 0.7, 0.9
+TERM_LETTERS, PRIOR, GENERALISE, REMOVE = 2, 0.5, 0.7, 0.9
+#: The coarser entity of a value, by kind.
+GROUPS = {
+    "email": "substring_index(value, '@', -1)",
+    "ip": "substring_index(value, '.', 3)",
+    "card": "left(translate(value, ' -', ''), 6)",
+    "phone": "regexp_replace(regexp_replace(value, '[^0-9]', ''), '[0-9]{4}$', '')",
+}
 #: What stands for a redacted span, by kind; a removed term leaves nothing.
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>", "removed": ""}
 
@@ -74,22 +87,14 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda t: F.length(t) >= TERM_LETTERS)
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda t: F.length(t) >= TERM_LETTERS)
 
 
-def _flagged(found: DataFrame) -> DataFrame:
-    """``kind, value, term, action`` of every disclosing pair."""
-    hit = found.where(F.size("spans") > 0)
-    each = hit.select("row_", "text", F.explode("spans").alias("s")).select("row_", "text", "s.kind", F.lower("s.value").alias("value"), "s.start", "s.end")
-    # a side ends where its cut first or last word begins
-    left = F.regexp_replace(F.expr(f"substring(text, greatest(start - {CONTEXT}, 0) + 1, least(start, {CONTEXT}))"), r"^\p{L}+", "")
-    left = F.when(F.col("start") <= CONTEXT, F.expr("substring(text, 1, start)")).otherwise(left)
-    right = F.expr(f"substring(text, `end` + 1, {CONTEXT})")
-    right = F.when(F.length("text") - F.col("end") <= CONTEXT, right).otherwise(F.regexp_replace(right, r"\p{L}+$", ""))
-    near = each.select("row_", "kind", "value", F.explode(_terms(F.concat_ws(" ", left, right))).alias("term")).distinct()
-    both = near.groupBy("kind", "value", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
-    entity = each.select("row_", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_c"))
-    return both.join(entity, ["kind", "value"])
+def _entities(found: DataFrame) -> DataFrame:
+    """``row_, kind, value``: the protected values of each row, and the groups they belong to."""
+    each = found.where(F.size("spans") > 0).select("row_", F.explode("spans").alias("s")).select("row_", "s.kind", F.lower("s.value").alias("value"))
+    group = F.expr("case kind " + " ".join(f"when '{k}' then {x}" for k, x in GROUPS.items()) + " end")
+    return each.unionByName(each.select("row_", F.concat("kind", F.lit(" group")).alias("kind"), group.alias("value"))).distinct()
 
 
 def _term_rows(docs: DataFrame) -> DataFrame:
@@ -100,20 +105,27 @@ def _term_rows(docs: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``kind, value, term, action``: terms to generalise ("term") or remove ("removed") with an entity."""
     total = found.agg(F.count("*").alias("n")).first()["n"]
-    n = F.lit(float(max(total, 1)))
-    pairs = _flagged(found).join(_term_rows(docs), "term")
-    share = F.log(n * F.col("n_ct") / (F.col("n_c").cast("double") * F.col("n_t"))) / F.log(n / F.col("n_c"))
-    pairs = pairs.where(F.col("n_c") < n).withColumn("d", share)
+    each = _entities(found)
+    p = (F.col("n_c") - 1) / F.lit(float(max(total - 1, 1)))
+    entity = each.groupBy("kind", "value").agg(F.count("*").alias("n_c")).where(F.col("n_c").between(2, total - 1)).withColumn("p_c", p)
+    # even if all rows of the entity had the term, one in more rows than this stays below GENERALISE
+    most = (F.col("n_c") - 1 + PRIOR * F.col("p_c")) / F.pow("p_c", F.lit(1 - GENERALISE)) + 1 - PRIOR
+    held = each.join(entity.withColumn("most", most + 1e-6), ["kind", "value"])
+    rows = found.join(held.groupBy("row_").agg(F.max("most").alias("row_most")), "row_")
+    terms = rows.select("row_", "row_most", F.explode(_terms(F.col("text"))).alias("term")).join(_term_rows(docs).where("n_t >= 2"), "term").where("n_t <= row_most")
+    both = held.join(terms.select("row_", "term", "n_t"), "row_").where("n_t <= most")
+    both = both.groupBy("kind", "value", "term").agg(F.count("*").alias("n_ct"), F.max("n_t").alias("n_t"), F.max("p_c").alias("p_c"))
+    given = (F.col("n_ct") - 1 + PRIOR * F.col("p_c")) / (F.col("n_t") - 1 + PRIOR)
+    pairs = both.withColumn("d", F.log(given / F.col("p_c")) / -F.log("p_c"))
     return pairs.where(F.col("d") >= GENERALISE).select("kind", "value", "term", F.when(F.col("d") >= REMOVE, "removed").otherwise("term").alias("action"))
 
 
 def _term_spans(found: DataFrame, flags: DataFrame) -> DataFrame:
     """``row_, more``: places of flagged terms in the rows that hold their entity, off the base spans."""
     hit = found.where(F.size("spans") > 0)
-    each = hit.select("row_", F.explode("spans").alias("s")).select("row_", "s.kind", F.lower("s.value").alias("value")).distinct()
-    todo = each.join(flags, ["kind", "value"]).groupBy("row_", "term").agg(F.min("action").alias("action"))  # "removed" < "term"
+    todo = _entities(found).join(flags, ["kind", "value"]).groupBy("row_", "term").agg(F.min("action").alias("action"))  # "removed" < "term"
     rows = hit.join(todo.select("row_").distinct(), "row_", "left_semi")
-    run = F.arrays_zip(F.split("text", r"\p{L}+", -1).alias("gap"), F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("run"))
+    run = F.arrays_zip(F.split("text", r"[\p{L}\p{N}]+", -1).alias("gap"), F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("run"))
     runs = rows.select("row_", F.posexplode(run).alias("i", "x")).select("row_", "i", F.length("x.gap").alias("gap"), "x.run").where(F.col("run").isNotNull())
     w = Window.partitionBy("row_").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("run")).over(w).cast("int")
