@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import chat, decontaminate, jaccard, language, lm, packing, private, quality, sharding, toxicity
+from wardflow.llm import chat, clustering, decontaminate, jaccard, language, lm, packing, private, quality, sharding, toxicity
 from wardflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,37 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base score and its log10 probability under the hierarchical Pitman-Yor model."""
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three rounds, with distances, inertia and its centroid's digest."""
+    return clustering.report(table(spark, sf_dir, "embeddings"))
+
+
+def _round(k: int) -> str:
+    """The centroids after round ``k`` (table c{k}: cluster, d, x) from those before."""
+    return f"""
+a{k} AS (SELECT vec_id, rn, arg_min(cluster, (dist, cluster)) AS cluster, min(dist) AS distance
+  FROM (SELECT q.vec_id, q.rn, c.cluster, sum((q.x - c.x) * (q.x - c.x))::BIGINT AS dist FROM q JOIN c{k} c ON q.d = c.d GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _means(k: int) -> str:
+    return f"""
+m{k} AS (SELECT a.cluster, q.d, sum(q.x)::BIGINT AS s, count(*) AS n FROM a{k} a JOIN q ON a.rn = q.rn GROUP BY ALL),
+c{k + 1} AS (SELECT c.cluster, c.d, CASE WHEN m.n IS NULL THEN c.x ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS x
+  FROM c{k} c LEFT JOIN m{k} m ON m.cluster = c.cluster AND m.d = c.d)"""
+
+
+ORACLES["op11_centroids"] = f"""
+WITH e AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn, [floor(64 * y::DOUBLE)::BIGINT FOR y IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0),
+q AS MATERIALIZED (SELECT vec_id, rn, unnest(range(64)) AS d, unnest(v) AS x FROM e),
+h AS (SELECT rn, row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS cluster FROM e),
+c0 AS (SELECT h.cluster, q.d, q.x FROM h JOIN q ON h.rn = q.rn WHERE h.cluster < 16),
+{_round(0)}, {_means(0)}, {_round(1)}, {_means(1)}, {_round(2)}, {_means(2)}, {_round(3)},
+g AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c3 GROUP BY cluster),
+i AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a3 GROUP BY cluster)
+SELECT a.vec_id, a.cluster::INTEGER AS cluster, a.distance, i.cluster_inertia, (SELECT sum(distance)::BIGINT FROM a3) AS inertia, g.centroid_sha256
+FROM a3 a JOIN i ON a.cluster = i.cluster JOIN g ON a.cluster = g.cluster
+"""
