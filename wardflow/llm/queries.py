@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import chat, clustering, decontaminate, jaccard, language, lm, packing, private, quality, sharding, toxicity
+from wardflow.llm import chat, clustering, decontaminate, jaccard, language, lm, packing, private, quality, sharding, simhash, toxicity
 from wardflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ i AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a3 GROUP BY
 SELECT a.vec_id, a.cluster::INTEGER AS cluster, a.distance, i.cluster_inertia, (SELECT sum(distance)::BIGINT FROM a3) AS inertia, g.centroid_sha256
 FROM a3 a JOIN i ON a.cluster = i.cluster JOIN g ON a.cluster = g.cluster
 """
+
+
+@register
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component of fingerprints within three bits."""
+    return simhash.detect(table(spark, sf_dir, "documents"))
