@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import chat, clustering, decontaminate, jaccard, language, lm, packing, private, quality, sharding, simhash, toxicity
+from wardflow.llm import alignment, chat, clustering, decontaminate, jaccard, language, lm, packing, private, quality, sharding, simhash, toxicity
 from wardflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ FROM a3 a JOIN i ON a.cluster = i.cluster JOIN g ON a.cluster = g.cluster
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the component of fingerprints within three bits."""
     return simhash.detect(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between two tokenizers, with the corpus-wide counts of its linked ids."""
+    return alignment.report(table(spark, sf_dir, "documents"))
