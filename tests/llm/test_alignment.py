@@ -83,3 +83,16 @@ def test_frequent_pairs_are_bounded(spark):
     for limit in (0, 9, 10, 25, 50, 99):
         least = alignment.frequent_from(counts, limit)
         assert counts.where(f"count >= {least}").count() == min(limit // 10 * 10, 50)
+
+
+def test_segments_give_the_ids_of_the_whole_text():
+    import random
+
+    rng, signs = random.Random(1), ["a", "the", "ing", " ", "  ", "\n", "\t", " ", "　", "\x1c", "'s", "12", "é", "东", ".", "<0x0A>", "́", "\U0001f600", "-"]
+    files = alignment.paths()
+    encode_a, _, encode_b, _ = alignment.encoders(files)
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 30)))
+        segments = alignment.SPACE.split(text)
+        assert [i for s in segments for i in encode_a(" " + s)] == encode_a(" " + text), repr(text)
+        assert [i for ids in encode_b(segments) for i in ids] == encode_b([text])[0], repr(text)

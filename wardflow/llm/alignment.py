@@ -5,6 +5,11 @@ text), and tokens become the bytes they stand for. The cumulative byte ends of e
 dictionary end -> index; the keys that both dictionaries hold, sorted, slice both id lists into groups,
 and the links (token pairs whose byte ranges overlap) are expanded slice by slice.
 
+Both tokenizers begin a token at a space between two signs that are no white space (A's pattern puts
+such a space in front of a word; none of B's pieces holds a space behind another sign, which is
+tested when it is loaded). A text is therefore cut there first, each segment is aligned on its own, and a
+segment that was met before is not encoded again; the result is that of the whole text.
+
 A pair's count is how many links of the whole corpus hold it. Documents are stored with their distinct pairs
 and how often each occurs; pair counts come from these by an aggregate with map-side sums, and a
 document's sums meet the counts in two ways: the most frequent pairs, at most ``FREQUENT``, travel to
@@ -13,12 +18,14 @@ than all that travel, so no key of it is hot. ``FREQUENT`` moves work, never a r
 
 Defined cases: a text that is null, empty, or whose joined bytes of either side differ from a space
 plus the text has no tokens: zeros and an empty digest column; repeated rows each count; an empty
-table gives no rows; further columns are ignored. A text is encoded whole in one task.
+table gives no rows; further columns are ignored. A text stays in one task.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +34,13 @@ from pyspark.sql import functions as F
 
 from wardflow.llm.common import cut, small_batches
 
-FREQUENT, SIDE = 1 << 18, 1 << 32
+FREQUENT, SIDE, BLOCK = 1 << 18, 1 << 32, 1 << 20
+REMEMBERED, LONG = 1 << 18, 64
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
+#: A space between two signs that are no white space.
+SPACE = re.compile(r"(?<=\S) (?=\S)")
+
 _encoders: dict[tuple[str, str, str], tuple] = {}
 
 
@@ -41,7 +52,7 @@ def paths() -> tuple[str, str, str]:
 
 
 def encoders(files: tuple[str, str, str]):
-    """``(encode a, bytes of a's ids, encode b, bytes of b's ids)``, loaded once per worker.
+    """``(encode a, bytes of a's ids, encode a list of texts by b, bytes of b's ids)``, loaded once per worker.
 
     A's ids are those of its tokenizers file; the same vocabulary as ranks gives them several times
     faster, and the tokenizers library takes over for a text that the faster library refuses.
@@ -70,59 +81,113 @@ def encoders(files: tuple[str, str, str]):
 
         b = sentencepiece.SentencePieceProcessor(model_file=files[2])
         pieces = [(i, b.id_to_piece(i)) for i in range(b.get_piece_size())]
+        if any("▁" in p.lstrip("▁") for _, p in pieces):
+            raise ValueError(f"{files[2]} has pieces that reach over a space between words: texts cannot be cut there")
         bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
-        _encoders[files] = encode_a, bytes_a, lambda text: b.encode(text, num_threads=1), bytes_b
+        _encoders[files] = encode_a, bytes_a, lambda texts: b.encode(texts, num_threads=1), bytes_b
     return _encoders[files]
 
 
-def ends(ids: list[int], size: np.ndarray) -> list[int]:
-    return np.cumsum(size[ids]).tolist()
-
-
-def groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs (after the last token of a, of b) at which both sides end a token, in order."""
-    at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
-    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
+def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of a, of b, end at or before each place where both sides end one, in order."""
+    at_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
+    at_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
     common = sorted(at_a.keys() & at_b.keys())
-    return list(zip(map(at_a.__getitem__, common), map(at_b.__getitem__, common)))
+    return tuple(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
 
 
-def slice_links(ends_a: list[int], ends_b: list[int], a: int, a_end: int, b: int, b_end: int) -> list[tuple[int, int]]:
-    """Index pairs of overlapping tokens of one group: the side that ends first moves on (inside a group the
-    two never end together)."""
-    out = []
-    while True:
-        out.append((a, b))
+def slice_links(ends_a: list[int], ends_b: list[int], a: int, b: int, count: int) -> tuple[list[int], list[int]]:
+    """Indices of the ``count`` overlapping pairs of a group that begins at tokens a and b: the side that ends first
+    moves on (inside a group the two never end together)."""
+    left, right = [a], [b]
+    for _ in range(count - 1):
         if ends_a[a] < ends_b[b]:
             a += 1
-        elif a == a_end - 1 and b == b_end - 1:
-            return out
         else:
             b += 1
-
-
-def align(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[str, np.ndarray, int]:
-    """The groups as text, the linked id pairs (a * 2**32 + b per link), and the number of groups."""
-    text, left, right = [], [], []
-    names_a, names_b = list(map(str, ids_a)), list(map(str, ids_b))
-    i = j = 0
-    cuts = groups(ends_a, ends_b)
-    for i2, j2 in cuts:
-        if i2 - i == 1:
-            text.append(f"{names_a[i]}|{names_b[j]}" if j2 - j == 1 else f"{names_a[i]}|{','.join(names_b[j:j2])}")
-            left += [i] * (j2 - j)
-            right += range(j, j2)
-        elif j2 - j == 1:
-            text.append(f"{','.join(names_a[i:i2])}|{names_b[j]}")
-            left += range(i, i2)
-            right += [j] * (i2 - i)
-        else:
-            text.append(f"{','.join(names_a[i:i2])}|{','.join(names_b[j:j2])}")
-            for x, y in slice_links(ends_a, ends_b, i, i2, j, j2):
-                left.append(x)
-                right.append(y)
-        i, j = i2, j2
-    return ";".join(text), np.array(ids_a, np.int64)[left] * SIDE + np.array(ids_b, np.int64)[right], len(cuts)
+        left.append(a)
+        right.append(b)
+    return left, right
+
+
+def links(ends_a: np.ndarray, ends_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token indices of every link, slice by slice, and how many links end with each slice. A slice of m and n tokens
+    has m + n - 1 links; where either side is one token, that token links with all of the other."""
+    from_a, from_b = (np.concatenate([[0], c[:-1]]) for c in (cut_a, cut_b))
+    m, n = cut_a - from_a, cut_b - from_b
+    last = np.cumsum(m + n - 1)
+    group = np.repeat(np.arange(len(m)), m + n - 1)
+    step = np.arange(len(group)) - (last - (m + n - 1))[group]
+    left, right = from_a[group] + np.minimum(step, m[group] - 1), from_b[group] + np.minimum(step, n[group] - 1)
+    several = np.flatnonzero((m > 1) & (n > 1))
+    if len(several):
+        list_a, list_b, x, y = ends_a.tolist(), ends_b.tolist(), [], []
+        for a, b, count in zip(from_a[several].tolist(), from_b[several].tolist(), (m + n - 1)[several].tolist()):
+            some = slice_links(list_a, list_b, a, b, count)
+            x += some[0]
+            y += some[1]
+        at = ((m > 1) & (n > 1))[group]
+        left[at], right[at] = x, y
+    return left, right, last
+
+
+SIGNS = ",|;\n"
+
+
+def text_of(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, closing: np.ndarray, names: np.ndarray) -> list[str]:
+    """The groups as ``a1,a2|b1;a3|b2,b3``, a new text after each of the ``closing`` groups; ``names`` has every
+    id with each of SIGNS behind it."""
+    sign_a, sign_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+    sign_a[cut_a - 1], sign_b[cut_b - 1] = 1, 2
+    sign_b[cut_b[closing] - 1] = 3
+    from_a, from_b = (np.concatenate([[0], c[:-1]]) for c in (cut_a, cut_b))
+    line = np.empty(len(ids_a) + len(ids_b), np.int64)
+    line[np.arange(len(ids_a)) + np.repeat(from_b, cut_a - from_a)] = len(SIGNS) * ids_a + sign_a
+    line[np.arange(len(ids_b)) + np.repeat(cut_a, cut_b - from_b)] = len(SIGNS) * ids_b + sign_b
+    signs = names[line].view(np.uint8)
+    return signs[signs > 0].tobytes().decode().split("\n")[:-1]
+
+
+class Segments(dict):
+    """segment of a text -> ``(n_a, n_b, n_groups, groups as text, an id pair a * 2**32 + b per link)``, or None
+    where a side's bytes differ. Up to ``limit`` are remembered, as words come again and again."""
+
+    def __init__(self, files: tuple[str, str, str], limit: int = REMEMBERED):
+        super().__init__()
+        self.encoders, self.limit, self.long = encoders(files), limit, []
+        self.sizes = [np.array(list(map(len, words))) for words in self.encoders[1::2]]
+        self.names = np.array([f"{i}{sign}" for i in range(max(map(len, self.sizes))) for sign in SIGNS], "S")
+
+    def read(self, segments: list[str]) -> None:
+        """Align all that are not known yet."""
+        encode_a, bytes_a, encode_b, bytes_b = self.encoders
+        for s in self.long:  # these come once
+            del self[s]
+        if len(self) > self.limit:
+            self.clear()
+        new = [s for s in dict.fromkeys(segments) if s not in self]
+        self.long = [s for s in new if len(s) > LONG]
+        known = []
+        for s, ids_b in zip(new, encode_b(new)):
+            ids_a, whole = encode_a(" " + s), (" " + s).encode()
+            if b"".join([bytes_a[i] for i in ids_a]) == whole and b"".join([bytes_b[i] for i in ids_b]) == whole:
+                known.append((s, ids_a, ids_b))
+            else:
+                self[s] = None
+        if known:
+            self.align(*zip(*known))
+
+    def align(self, names: tuple[str, ...], each_a: tuple[list[int], ...], each_b: tuple[list[int], ...]) -> None:
+        """Align segments in one go, as if they were one text: both sides end a token where a segment ends."""
+        n_a, n_b = np.array(list(map(len, each_a))), np.array(list(map(len, each_b)))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((each_a, n_a), (each_b, n_b)))
+        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        cut_a, cut_b = groups(ends_a, ends_b)
+        left, right, last = links(ends_a, ends_b, cut_a, cut_b)
+        closing = np.searchsorted(cut_a, np.cumsum(n_a))
+        pairs, stop = (a[left] * SIDE + b[right]).tolist(), last[closing].tolist()
+        of = [tuple(pairs[i:j]) for i, j in zip([0, *stop], stop)]
+        self.update(zip(names, zip(n_a.tolist(), n_b.tolist(), np.diff(closing, prepend=-1).tolist(), text_of(a, b, cut_a, cut_b, closing, self.names), of)))
 
 
 def aligned(docs: DataFrame, files: tuple[str, str, str] | None = None) -> DataFrame:
@@ -132,29 +197,31 @@ def aligned(docs: DataFrame, files: tuple[str, str, str] | None = None) -> DataF
     names = ["row_", "doc_id", *COUNTS, "groups", "pairs", "times"]
     kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
-    def one(text):
-        encode_a, bytes_a, encode_b, bytes_b = encoders(files)
-        if text:
-            whole = (" " + text).encode()
-            ids_a = encode_a(" " + text)
-            if b"".join(map(bytes_a.__getitem__, ids_a)) == whole:
-                ids_b = encode_b(text)
-                if b"".join(map(bytes_b.__getitem__, ids_b)) == whole:
-                    said, links, n = align(ids_a, ids_b, ends(ids_a, size_a[0]), ends(ids_b, size_b[0]))
-                    pairs, times = np.unique(links, return_counts=True)
-                    return len(ids_a), len(ids_b), n, len(links), said, pairs, times.astype(np.int32)
-        return 0, 0, 0, 0, "", [], []
-
-    size_a: list[np.ndarray] = []
-    size_b: list[np.ndarray] = []
-
     def run(it):
-        _, bytes_a, _, bytes_b = encoders(files)
-        size_a[:], size_b[:] = [np.array(list(map(len, bytes_a)))], [np.array(list(map(len, bytes_b)))]
+        known = Segments(files)
+
+        def one(segments):
+            if not segments:
+                return 0, 0, 0, 0, "", [], []
+            found = [known[s] for s in segments]
+            if None in found:
+                return one([])
+            n_a, n_b, n_groups, text, links = zip(*found)
+            pairs, times = np.unique(np.fromiter(chain.from_iterable(links), np.int64), return_counts=True)
+            return sum(n_a), sum(n_b), sum(n_groups), int(times.sum()), ";".join(text), pairs, times.astype(np.int32)
+
         for b in it:
-            done = [one(t) for t in b.column(2).to_pylist()]
-            columns = [pa.array(list(x), k) for x, k in zip(zip(*done), kinds[2:])] if done else [pa.array([], k) for k in kinds[2:]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=names)
+            texts, done, at = b.column(2).to_pylist(), [], 0
+            while at < len(texts):  # as many texts at once as make a block
+                stop, size = at, 0
+                while stop < len(texts) and (stop == at or size < BLOCK):
+                    size += len(texts[stop] or "")
+                    stop += 1
+                split = [SPACE.split(t) if t else [] for t in texts[at:stop]]
+                known.read(list(chain.from_iterable(split)))
+                done += map(one, split)
+                at = stop
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[i] for x in done], k) for i, k in enumerate(kinds[2:]))], names=names)
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), "text")
