@@ -51,7 +51,7 @@ def test_form_restart_and_optional_gate(spark):
     assert "albumin" not in got and "k" not in got
     assert got["hr"].number == 90.0  # the optional section is untouched by the required restart
     assert got["age"].number == 71.0 and "bun" not in got
-    status = ik.required_status(answers(spark, rows), st).first()
+    status = ik.required_status(ik.replay(ik.validate(answers(spark, rows)))).first()
     assert not status["complete"] and status["missing"].startswith("bun, weight")
 
 
@@ -59,7 +59,7 @@ def test_progress_rounds_half_to_even(spark):
     rows = _full_required("s", 0) + [("s", 20 + i, None, "submit", f, "1")
                                       for i, f in enumerate(["albumin", "alp", "alt", "ast"])]
     a = answers(spark, rows)
-    prog = {r.section: r for r in ik.progress(a, ik.session_state(ik.validate(a))).collect()}
+    prog = {r.section: r for r in ik.progress(ik.replay(ik.validate(a))).collect()}
     assert prog["optional"].completed == 4 and prog["optional"].percent == 12  # 12.5 -> 12
     assert prog["required"].percent == 100
 
@@ -67,9 +67,9 @@ def test_progress_rounds_half_to_even(spark):
 def test_form_icu_both_variants(spark):
     rows = _full_required("s", 0) + [("s", 20, None, "submit", "icu_type", "3"), ("s", 21, None, "submit", "hr", "88")]
     a = answers(spark, rows)
-    st = ik.session_state(ik.validate(a))
-    new = {r.feature: r.value for r in ik.answers_to_features(a, st).collect()}
-    old = {r.feature: r.value for r in ik.answers_to_features(a, st, legacy_icu=True).collect()}
+    st = ik.replay(ik.validate(a))
+    new = {r.feature: r.value for r in ik.answers_to_features(st).collect()}
+    old = {r.feature: r.value for r in ik.answers_to_features(st, legacy_icu=True).collect()}
     assert len(new) == 369 and sorted(new) == ik.model_feature_names()
     assert new["ICUType_3.0"] == 1.0 and new["ICUType_1.0"] == 0.0
     assert all(old[f"ICUType_{k}"] == 0.0 for k in (1.0, 2.0, 3.0, 4.0))

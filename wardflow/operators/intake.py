@@ -2,25 +2,22 @@
 
 Answers: ``(session_id, seq, section, action, field, raw_value)`` with action
 ``submit`` or ``restart`` (a restart names its section, not a field). The
-catalogue (41 fields) and its choice keys are broadcast; every per-session
-step is an aggregate or a G1 running max, so no session is ever collected
-whole.
+catalogue (41 fields) and its choice keys are broadcast. ``replay`` folds the
+answers into one row per session (F6); what F4, F5, F7, F8 and F10 say of a session is
+read from that row.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardflow import catalog
 from wardflow.functions.scalar import gender_code, safe_float
-from wardflow.operators.ranks import running_totals
-from wardflow.session import local_frame
+from wardflow.operators.replay import replay
 
 MISSING_MARK = {"required": "❌", "optional": "⚠️"}
-ZERO_SUFFIXES = ("delta", "range", "std")
 
 ANSWER_SCHEMA = T.StructType([
     T.StructField("session_id", T.StringType(), False),
@@ -105,61 +102,22 @@ def _restart_rows(validated: DataFrame, spark) -> DataFrame:
     )
 
 
-def _fold(rows: DataFrame) -> DataFrame:
-    """Latest row per (session, field); a restart there means not answered."""
-    last = rows.groupBy("session_id", "field").agg(
-        F.max_by(F.struct("action", "section", "value", "number"), F.col("seq")).alias("s"),
-        F.max("seq").alias("seq"),
-    )
-    return last.where(F.col("s.action") == "submit").select(
-        "session_id", "field", "s.section", "s.value", "s.number", "seq"
-    )
-
-
 def session_state(validated: DataFrame, gate_optional: bool = True) -> DataFrame:
     """the answers each session holds after replaying its submissions.
 
     Only valid submissions count; a restart clears only its own section.
     Optional answers count only when all required fields were captured since
-    the latest required restart before them: each row's epoch (latest
-    required restart seq) is a G1 running max per session, completion per
-    epoch is an aggregate, and the gate is a join on (session, epoch).
+    the latest required restart before them (see :mod:`wardflow.operators.replay`).
     Output: ``(session_id, field, section, value, number, seq)``.
     """
-    spark = validated.sparkSession
-    # Read by the submissions, the restart marks and the restart rows.
-    validated = validated.persist(StorageLevel.MEMORY_AND_DISK)
-    subs = validated.where((F.col("action") == "submit") & F.col("ok")).select(
-        "session_id", "seq", "section", "action", "field", "value", "number"
-    )
-    restarts = _restart_rows(validated, spark)
-    if not gate_optional:
-        return _fold(subs.unionByName(restarts))
-
-    marks = validated.where((F.col("action") == "restart") & (F.col("section") == "required")).select(
-        "session_id", "seq", F.lit(None).cast("string").alias("section"), F.lit("mark").alias("action"),
-        F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"),
-        F.lit(None).cast("double").alias("number"), F.col("seq").alias("_mark"),
-    )
-    u = subs.withColumn("_mark", F.lit(None).cast("long")).unionByName(marks)
-    rt = running_totals(u, "seq", [], partition_cols=["session_id"], max_cols=["_mark"])
-    rows = rt.where(F.col("action") == "submit").withColumn(
-        "_epoch", F.coalesce(F.col("runmax__mark"), F.lit(-(1 << 63)))
-    ).drop("_mark", "runmax__mark").persist(StorageLevel.MEMORY_AND_DISK)  # read by both sections
-
-    req = rows.where(F.col("section") == "required")
-    firsts = req.groupBy("session_id", "_epoch", "field").agg(F.min("seq").alias("_first"))
-    complete = (
-        firsts.groupBy("session_id", "_epoch")
-        .agg(F.count(F.lit(1)).alias("_nf"), F.max("_first").alias("_done"))
-        .where(F.col("_nf") == len(catalog.REQUIRED_FIELDS))
-        .drop("_nf")
-    )
-    opt = rows.where(F.col("section") == "optional").join(complete, ["session_id", "_epoch"], "inner").where(
-        F.col("seq") > F.col("_done")
-    ).drop("_done")
-    kept = req.drop("_epoch").unionByName(opt.drop("_epoch")).unionByName(restarts)
-    return _fold(kept)
+    return held_rows(replay(validated, gate_optional))
+
+
+def held_rows(sessions: DataFrame) -> DataFrame:
+    """The answers of replayed sessions, one row each."""
+    name, section = ("array(" + ", ".join(f"'{f[k]}'" for f in _fields()) + ")" for k in ("name", "section"))
+    rows = sessions.selectExpr("session_id", "posexplode(held) AS (p, a)").where("a IS NOT NULL")
+    return rows.selectExpr("session_id", f"{name}[p] AS field", f"{section}[p] AS section", "a.value", "a.number", "a.seq")
 
 
 def merge_sections(required: DataFrame, optional: DataFrame) -> DataFrame:
@@ -173,64 +131,37 @@ def merge_sections(required: DataFrame, optional: DataFrame) -> DataFrame:
     ).select("session_id", "field", "s.*")
 
 
-def _sessions(answers: DataFrame) -> DataFrame:
-    return answers.select("session_id").distinct()
+def _fields(section: str | None = None) -> list[dict]:
+    """Catalogue fields in order of position."""
+    return sorted((f for f in catalog.fields() if section in (None, f["section"])), key=lambda f: f["position"])
 
 
-def _section_spine(sessions: DataFrame, section: str | None = None) -> DataFrame:
-    fields = [f for f in catalog.fields() if section is None or f["section"] == section]
-    arr = F.array(*[
-        F.struct(F.lit(f["name"]).alias("field"), F.lit(f["position"]).alias("position"),
-                 F.lit(f["section"]).alias("section"), F.lit(f["type"]).alias("type"))
-        for f in fields
-    ])
-    return sessions.select("session_id", F.explode(arr).alias("f")).select("session_id", "f.*")
+def _open_fields(section: str):
+    """Names of a section's fields that a replayed session has not answered, in catalogue order."""
+    return F.expr("array_compact(array(" + ", ".join(f"if(held[{f['position']}] IS NULL, '{f['name']}', null)" for f in _fields(section)) + "))")
 
 
-def required_status(answers: DataFrame, state: DataFrame) -> DataFrame:
+def required_status(sessions: DataFrame) -> DataFrame:
     """per session: complete flag, number missing, missing names in catalogue order."""
-    spine = _section_spine(_sessions(answers), "required")
-    missing = spine.join(state.select("session_id", "field"), ["session_id", "field"], "left_anti")
-    agg = missing.groupBy("session_id").agg(
-        F.sort_array(F.collect_list(F.struct("position", "field"))).alias("_m")  # at most 9 per session
-    )
-    out = _sessions(answers).join(agg, "session_id", "left")
-    names = F.transform(F.coalesce(F.col("_m"), F.array()), lambda s: s["field"])
-    return out.select(
-        "session_id",
-        (F.size(names) == 0).alias("complete"),
-        F.size(names).alias("n_missing"),
-        F.array_join(names, ", ").alias("missing"),
+    missing = _open_fields("required")
+    return sessions.select(
+        "session_id", (F.size(missing) == 0).alias("complete"), F.size(missing).alias("n_missing"), F.array_join(missing, ", ").alias("missing")
     )
 
 
-def optional_remaining(answers: DataFrame, state: DataFrame) -> DataFrame:
+def optional_remaining(sessions: DataFrame) -> DataFrame:
     """optional fields not yet answered and the next one by catalogue order."""
-    spine = _section_spine(_sessions(answers), "optional")
-    rest = spine.join(state.select("session_id", "field"), ["session_id", "field"], "left_anti")
-    agg = rest.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("remaining"), F.min_by("field", "position").alias("next_field")
-    )
-    return _sessions(answers).join(agg, "session_id", "left").select(
-        "session_id", F.coalesce("remaining", F.lit(0)).cast("long").alias("remaining"), "next_field"
-    )
+    rest = _open_fields("optional")
+    return sessions.select("session_id", F.size(rest).cast("long").alias("remaining"), F.get(rest, F.lit(0)).alias("next_field"))
 
 
-def progress(answers: DataFrame, state: DataFrame) -> DataFrame:
+def progress(sessions: DataFrame) -> DataFrame:
     """completed / total per section and the percentage rounded half to even."""
-    totals = {"required": len(catalog.REQUIRED_FIELDS), "optional": len(catalog.OPTIONAL_FIELDS)}
-    sess = _sessions(answers).select(
-        "session_id", F.explode(F.array(*[F.lit(s) for s in totals])).alias("section")
-    )
-    done = state.groupBy("session_id", "section").agg(F.count(F.lit(1)).alias("completed"))
-    total = F.when(F.col("section") == "required", F.lit(totals["required"])).otherwise(F.lit(totals["optional"]))
-    out = sess.join(done, ["session_id", "section"], "left").withColumn(
-        "completed", F.least(F.coalesce("completed", F.lit(0)), total).cast("long")
-    ).withColumn("total", total.cast("long"))
-    return out.select(
-        "session_id", "section", "completed", "total",
-        F.bround(F.col("completed") / F.col("total") * 100, 0).cast("int").alias("percent"),
-    )
+    parts = F.array(*(
+        F.struct(F.lit(s).alias("section"), (len(_fields(s)) - F.size(_open_fields(s))).cast("long").alias("completed"), F.lit(len(_fields(s))).cast("long").alias("total"))
+        for s in ("required", "optional")
+    ))
+    return sessions.select("session_id", F.inline(parts)).withColumn("percent", F.bround(F.col("completed") / F.col("total") * 100, 0).cast("int"))
 
 
 def float_text(x: F.Column) -> F.Column:
@@ -250,102 +181,72 @@ def answer_text(typ, value, number) -> F.Column:
     )
 
 
-def section_summary(answers: DataFrame, state: DataFrame) -> DataFrame:
+def section_summary(sessions: DataFrame) -> DataFrame:
     """F8: every catalogue field per session with its answer or the section's missing mark."""
-    spine = _section_spine(_sessions(answers))
-    j = spine.join(state.select("session_id", "field", "value", "number"), ["session_id", "field"], "left")
-    mark = F.when(F.col("section") == "required", F.lit(MISSING_MARK["required"])).otherwise(
-        F.lit(MISSING_MARK["optional"]))
-    return j.select(
-        "session_id", "section", "field", "position",
-        F.coalesce(answer_text(F.col("type"), F.col("value"), F.col("number")), mark).alias("answer"),
-    )
+    listed = {k: "array(" + ", ".join(repr(f[k]) for f in _fields()) + ")" for k in ("section", "name", "type")}
+    rows = sessions.selectExpr("session_id", "posexplode(held) AS (position, a)")
+    rows = rows.selectExpr("session_id", f"{listed['section']}[position] AS section", f"{listed['name']}[position] AS field", "position", f"{listed['type']}[position] AS type", "a")
+    mark = F.when(F.col("section") == "required", F.lit(MISSING_MARK["required"])).otherwise(F.lit(MISSING_MARK["optional"]))
+    return rows.select("session_id", "section", "field", "position", F.coalesce(answer_text(F.col("type"), F.col("a.value"), F.col("a.number")), mark).alias("answer"))
 
 
 # --- model rows -----------------------------------------------------------------------------
 
+#: Per aggregate suffix: its value while the vital is unanswered, and once one reading is given.
+#: "median" is the catalogue's median, "reading" the answer.
+SUFFIX_RULES = {
+    "first": ("median", "reading"), "last": ("median", "reading"), "max": ("median", "reading"), "mean": ("median", "reading"),
+    "median": ("median", "reading"), "min": ("median", "reading"),
+    "delta": (0.0, 0.0), "range": (0.0, 0.0), "std": (0.0, 0.0),
+    "missing": (1.0, 0.0),
+}
+#: Kinds of model columns an answer sets: the number, the gender's code, a one-hot category, a suffix's value.
+GENDER, ICU = "gender", "icu_type"
+
+
+def model_columns(legacy_icu: bool = False) -> list[tuple[str, str | None, float, str]]:
+    """(feature, field, default, kind) of every model column, by name: the catalogue crossed with the rules.
+
+    ``kind`` says what an answer makes of it; a column without a field keeps its default.
+    """
+    known = [f for f in catalog.fields() if f["median"] is not None]
+    direct = [(f["direct_column"], f["name"], float(f["median"]), "gender" if f["name"] == GENDER else "direct") for f in known if f["direct_column"]]
+    hot = [(f"ICUType_{k}", None if legacy_icu else ICU, 0.0, f"onehot:{k}") for k in (*catalog.ICU_TYPES, "nan")]
+    vitals = [
+        (f"{f['feature_base']}_{suffix}", f["name"], float(f["median"]) if before == "median" else before, "value" if after == "reading" else f"fixed:{after}")
+        for f in known if f["feature_base"] for suffix, (before, after) in SUFFIX_RULES.items()
+    ]
+    return sorted(direct + hot + vitals)
+
+
 def default_row() -> list[tuple[str, float]]:
-    """(feature, default) for every model column, from the catalogue medians."""
-    row: dict[str, float] = {}
-    for f in catalog.fields():
-        med = f["median"]
-        if med is None:
-            continue
-        if f["direct_column"]:
-            row[f["direct_column"]] = float(med)
-        if f["name"] == "icu_type":
-            for k in catalog.ICU_TYPES:
-                row[f"ICUType_{k}"] = 0.0
-            row["ICUType_nan"] = 0.0
-        if f["feature_base"]:
-            for s in catalog.SUFFIXES:
-                if s in ZERO_SUFFIXES:
-                    row[f"{f['feature_base']}_{s}"] = 0.0
-                elif s == "missing":
-                    row[f"{f['feature_base']}_{s}"] = 1.0
-                else:
-                    row[f"{f['feature_base']}_{s}"] = float(med)
-    return sorted(row.items())
-
-
-def _override_map(legacy_icu: bool) -> list[tuple[str, str, str]]:
-    """(field, feature, kind) for every model column an answer can set."""
-    out = []
-    for f in catalog.fields():
-        if f["direct_column"]:
-            out.append((f["name"], f["direct_column"], "gender" if f["name"] == "gender" else "direct"))
-        if f["name"] == "icu_type" and not legacy_icu:
-            for k in catalog.ICU_TYPES:
-                out.append((f["name"], f"ICUType_{k}", f"onehot:{k}"))
-            out.append((f["name"], "ICUType_nan", "onehot:nan"))
-        if f["feature_base"]:
-            for s in catalog.SUFFIXES:
-                kind = "zero" if s in ZERO_SUFFIXES else ("missing" if s == "missing" else "value")
-                out.append((f["name"], f"{f['feature_base']}_{s}", kind))
-    return out
-
-
-def answers_to_features(answers: DataFrame, state: DataFrame, legacy_icu: bool = False) -> DataFrame:
-    """one model row per session, long ``(session_id, feature, value)``.
+    """(feature, default) of every model column."""
+    return [(feature, default) for feature, _, default, _ in model_columns()]
+
+
+def answers_to_features(sessions: DataFrame, legacy_icu: bool = False) -> DataFrame:
+    """one model row per replayed session, long ``(session_id, feature, value)``.
 
     Defaults (F9) are overridden by the session's answers: direct columns take
-    the number (gender via its code), a vital answer is a single reading
-    (first = last = max = mean = median = min = value; delta = range = std =
-    0; missing = 0). ``legacy_icu=True`` reproduces the observed form where
-    the chosen ICU type never reaches the row.
-
-    Only the overrides are shuffled: they fold into one map per session
-    (at most one entry per model column, so catalogue-bounded), and the
-    default row is expanded after that, next to the map, without a shuffle.
+    the number (gender via its code), a vital answer is a single reading. ``legacy_icu=True``
+    reproduces the observed form where the chosen ICU type never reaches the row.
+
+    An answer is looked up by its position, so a row costs one pass over the model columns and no shuffle.
     """
-    spark = answers.sparkSession
-    defaults = F.array(*[F.struct(F.lit(k).alias("feature"), F.lit(v).alias("value")) for k, v in default_row()])
-    omap = F.broadcast(local_frame(spark, _override_map(legacy_icu), "field string, feature string, kind string"))
-    st = state.select("session_id", "field", "value", "number").withColumn(
-        "_x", F.coalesce(F.col("number"), safe_float("value")))
-    j = st.join(omap, "field", "inner")
-    x = F.col("_x")
-    icu = x.try_cast("int")
-    kind = F.col("kind")
-    val = (
-        F.when(kind == "direct", x)
-        .when(kind == "gender", gender_code("value").cast("double"))
-        .when(kind == "zero", F.when(x.isNotNull(), F.lit(0.0)))
-        .when(kind == "missing", F.when(x.isNotNull(), F.lit(0.0)))
-        .when(kind == "value", x)
-        .when(kind == "onehot:nan", F.when(icu.isNotNull(), F.lit(0.0)))
-        .when(kind.startswith("onehot:"),
-              F.when(icu.isNotNull(),
-                     F.when(F.concat(F.lit("onehot:"), icu.cast("string"), F.lit(".0")) == kind, F.lit(1.0))
-                     .otherwise(F.lit(0.0))))
-    )
-    over = j.select("session_id", "feature", val.alias("value")).where(F.col("value").isNotNull())
-    maps = over.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_m"))
-    rows = _sessions(answers).join(maps, "session_id", "left")
-    return rows.select("session_id", F.explode(defaults).alias("d"), "_m").select(
-        "session_id", F.col("d.feature").alias("feature"),
-        F.coalesce(F.col("_m")[F.col("d.feature")], F.col("d.value")).alias("value"),
-    )
+    place = {f["name"]: f["position"] for f in catalog.fields()}
+    x = F.transform("held", lambda a: F.coalesce(a["number"], safe_float(a["value"])))
+    gender = gender_code(F.get("held", F.lit(place[GENDER]))["value"]).cast("double")
+    wide = sessions.select("session_id", x.alias("x"), gender.alias("gender"), F.get(x, F.lit(place[ICU])).try_cast("int").alias("icu"))
+
+    columns = ", ".join(
+        f"struct('{feature}', {'null' if field is None else place[field]}, '{kind.partition(':')[0]}', '{kind.partition(':')[2]}', {default!r}D)"
+        for feature, field, default, kind in model_columns(legacy_icu)
+    )
+    rows = wide.selectExpr("*", f"inline(array({columns})) AS (feature, p, kind, rule, default)").withColumn("given", F.expr("get(x, p)"))
+    value = """coalesce(CASE WHEN p IS NULL THEN null WHEN kind = 'gender' THEN gender
+        WHEN kind = 'onehot' THEN if(icu IS NULL, null, cast(concat(icu, '.0') = rule AS double))
+        WHEN kind = 'fixed' THEN if(given IS NULL, null, cast(rule AS double)) ELSE given END, default)"""
+    return rows.selectExpr("session_id", "feature", f"{value} AS value")
 
 
 def model_feature_names() -> list[str]:

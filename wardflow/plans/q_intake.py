@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from wardflow import catalog
@@ -121,8 +120,7 @@ _UNGATED = S.with_(_cat_sql(), _answers_sql(), _VAL, _state_sql(gate=False))
 
 
 def answers_df(spark, sf_dir):
-    # Read by the validation and by the per-session spines: one cache shared by plan identity.
-    return SI.answers(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return SI.answers(spark, sf_dir)
 
 
 def validated_df(spark, sf_dir):
@@ -133,6 +131,10 @@ def state_df(spark, sf_dir):
     return ik.session_state(validated_df(spark, sf_dir))
 
 
+def sessions_df(spark, sf_dir):
+    return ik.replay(validated_df(spark, sf_dir))
+
+
 @query("validate_answers", _BASE + "SELECT session_id, seq, field, ok, value, number, message FROM val")
 def validate_answers(spark, sf_dir):
     """Every answer checked against the catalogue with the form's messages."""
@@ -171,7 +173,7 @@ FROM sess s LEFT JOIN (SELECT s2.session_id, r.field, r.position FROM sess s2, {
 GROUP BY s.session_id""")
 def required_status(spark, sf_dir):
     """required completeness and the missing names in catalogue order."""
-    return ik.required_status(answers_df(spark, sf_dir), state_df(spark, sf_dir))
+    return ik.required_status(sessions_df(spark, sf_dir))
 
 
 @query("optional_remaining", _WITH_STATE + f"""SELECT s.session_id, CAST(count(r.field) AS BIGINT) AS remaining,
@@ -182,7 +184,7 @@ FROM sess s LEFT JOIN (SELECT s2.session_id, r.field, r.position FROM sess s2, {
 GROUP BY s.session_id""")
 def optional_remaining(spark, sf_dir):
     """optional fields left and the next one offered."""
-    return ik.optional_remaining(answers_df(spark, sf_dir), state_df(spark, sf_dir))
+    return ik.optional_remaining(sessions_df(spark, sf_dir))
 
 
 @query("progress", _WITH_STATE + f"""SELECT s.session_id, x.section,
@@ -193,7 +195,7 @@ LEFT JOIN state t ON t.session_id = s.session_id AND t.section = x.section
 GROUP BY s.session_id, x.section, x.total""")
 def progress(spark, sf_dir):
     """completed/total per section, percent rounded half to even."""
-    return ik.progress(answers_df(spark, sf_dir), state_df(spark, sf_dir))
+    return ik.progress(sessions_df(spark, sf_dir))
 
 
 @query("section_summary", _WITH_STATE + """SELECT s.session_id, c.section, c.field, c.position,
@@ -203,12 +205,12 @@ def progress(spark, sf_dir):
 FROM sess s, cat c LEFT JOIN state t ON t.session_id = s.session_id AND t.field = c.field""")
 def section_summary(spark, sf_dir):
     """F8: every field per session with its answer or the section's missing mark."""
-    return ik.section_summary(answers_df(spark, sf_dir), state_df(spark, sf_dir))
+    return ik.section_summary(sessions_df(spark, sf_dir))
 
 
 def _features_sql(legacy: bool):
     defaults = ", ".join(f"({_q(k)}, {_q(float(v))})" for k, v in ik.default_row())
-    omap = ", ".join(f"({_q(a)}, {_q(b)}, {_q(c)})" for a, b, c in ik._override_map(legacy))
+    omap = ", ".join(f"({_q(b)}, {_q(a)}, {_q(c)})" for a, b, _, c in ik.model_columns(legacy) if b)
     return _WITH_STATE + f""",
 dflt AS (SELECT * FROM (VALUES {defaults}) d(feature, value)),
 omap AS (SELECT * FROM (VALUES {omap}) m(field, feature, kind)),
@@ -218,7 +220,7 @@ ov AS (SELECT session_id, feature, CASE
     WHEN kind = 'direct' THEN x
     WHEN kind = 'gender' THEN CAST(CASE WHEN lower(trim(sval)) = 'male' THEN 1 WHEN lower(trim(sval)) = 'female' THEN 0
         ELSE CAST(trunc(TRY_CAST(trim(sval) AS DOUBLE)) AS INTEGER) END AS DOUBLE)
-    WHEN kind IN ('zero', 'missing') THEN CASE WHEN x IS NOT NULL THEN 0.0 END
+    WHEN kind LIKE 'fixed:%' THEN CASE WHEN x IS NOT NULL THEN CAST(substr(kind, 7) AS DOUBLE) END
     WHEN kind = 'value' THEN x
     WHEN kind = 'onehot:nan' THEN CASE WHEN x IS NOT NULL THEN 0.0 END
     WHEN kind LIKE 'onehot:%' THEN CASE WHEN x IS NOT NULL THEN
@@ -232,18 +234,18 @@ SELECT session_id, feature, arg_max(value, p) AS value FROM allv GROUP BY sessio
 @query("answer_features", rounded(_features_sql(False), ["value"]))
 def answer_features(spark, sf_dir):
     """F9 + F10: one model row per session (long), ICU type one-hot set as intended."""
-    return stable(ik.answers_to_features(answers_df(spark, sf_dir), state_df(spark, sf_dir), legacy_icu=False))
+    return stable(ik.answers_to_features(sessions_df(spark, sf_dir), legacy_icu=False))
 
 
 @query("answer_features_legacy", rounded(_features_sql(True), ["value"]))
 def answer_features_legacy(spark, sf_dir):
     """F10 with the observed form behaviour: the chosen ICU type never reaches the row."""
-    return stable(ik.answers_to_features(answers_df(spark, sf_dir), state_df(spark, sf_dir), legacy_icu=True))
+    return stable(ik.answers_to_features(sessions_df(spark, sf_dir), legacy_icu=True))
 
 
 @query("merged_answers", _WITH_STATE + "SELECT session_id, field, section, value, number, seq FROM state")
 def merged_answers(spark, sf_dir):
     """Required and optional answers merged, the optional side winning on a shared field."""
-    st = state_df(spark, sf_dir).persist()
+    st = state_df(spark, sf_dir)
     return ik.merge_sections(st.where(F.col("section") == "required"), st.where(F.col("section") == "optional")).select(
         "session_id", "field", "section", "value", "number", "seq")

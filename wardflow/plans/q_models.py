@@ -144,7 +144,7 @@ def score_answers(spark, sf_dir):
     session's latest order status as label, saved to the shared folder, loaded
     back, and score the other sessions.
     """
-    rows = ik.answers_to_features(QI.answers_df(spark, sf_dir), QI.state_df(spark, sf_dir))
+    rows = ik.answers_to_features(QI.sessions_df(spark, sf_dir))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     rows = rows.withColumnRenamed("session_id", "record_id")
     learn = F.pmod(F.crc32(F.col("record_id").cast("binary")), F.lit(3)) == 0

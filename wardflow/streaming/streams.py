@@ -84,7 +84,7 @@ def feature_stream(answers: DataFrame, out: str, name: str = "t1") -> str:
         seen = batch.sparkSession.read.parquet(os.path.join(out, "answers")).where(F.col("batch") <= batch_id).drop("batch")
         now = batch.sparkSession.read.parquet(os.path.join(out, "answers", f"batch={batch_id}")).select("session_id").distinct()
         mine = seen.join(now, "session_id", "left_semi")
-        rows = ik.answers_to_features(mine, ik.session_state(mine))
+        rows = ik.answers_to_features(ik.replay(mine))
         rows.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(os.path.join(out, "data", f"batch={batch_id}"))
 
     q = (
