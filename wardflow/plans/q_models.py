@@ -19,11 +19,12 @@ from wardflow.operators import scale as sc
 from wardflow.operators.challenge import challenge_scores
 from wardflow.plans import q_features as QF
 from wardflow.plans import q_intake as QI
+from wardflow.plans import q_streams as QS
 from wardflow.plans import sqltext as S
 from wardflow.plans.registry import query, rounded, stable
-from wardflow.session import scratch_path
+from wardflow.session import cut, scratch_path
 from wardflow.sources import standins as SI
-from wardflow.streaming.streams import score_rows
+from wardflow.streaming.streams import read_latest, score_rows, score_stream
 
 
 def _scaled_long(spark, sf_dir):
@@ -136,28 +137,45 @@ def model_comparison(spark, sf_dir):
     return me.metric_summary(scored).join(challenge_scores(scored), "model", "left")
 
 
-@query("score_answers")
-def score_answers(spark, sf_dir):
-    """F11 + S5 + I6 + P6: form rows -> scaler -> MLP (saved and loaded once) -> RISK band on the raw score.
+def _learns(session):
+    """The third of the sessions (by id hash) that the form's model is fitted on."""
+    return F.pmod(F.crc32(session.cast("binary")), F.lit(3)) == 0
 
-    Scaler and model are fitted on one third of the sessions (by id hash) with the
-    session's latest order status as label, saved to the shared folder, loaded
-    back, and score the other sessions.
-    """
-    rows = ik.answers_to_features(QI.sessions_df(spark, sf_dir))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = rows.withColumnRenamed("session_id", "record_id")
-    learn = F.pmod(F.crc32(F.col("record_id").cast("binary")), F.lit(3)) == 0
+
+def form_model(spark, sf_dir) -> str:
+    """Scaler and MLP fitted on the learning sessions, with the session's latest order status as label, saved
+    to the shared folder; the path."""
+    rows = ik.answers_to_features(ik.replay(QI.validated_df(spark, sf_dir).where(_learns(F.col("session_id")))))
+    rows = cut(rows.withColumnRenamed("session_id", "record_id"), "form-rows")
     names = ik.model_feature_names()
     o = SI.table(spark, sf_dir, "orders")
     lab = o.groupBy(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("record_id")).agg(
         (F.max_by("o_orderstatus", "o_orderkey") == "F").cast("int").alias("label"))
-    stats = sc.fit_scaler(rows.where(learn))
-    train = mo.with_vector(fx.to_vector(sc.apply_scaler(rows.where(learn), stats), names).join(lab, "record_id", "inner"))
+    stats = sc.fit_scaler(rows)
+    train = mo.with_vector(fx.to_vector(sc.apply_scaler(rows, stats), names).join(lab, "record_id", "inner"))
     path = scratch_path(spark, "form-pipeline")
     mo.save_pipeline(path, mo.train_mlp(train, len(names)), stats)
-    model, stats = mo.load_pipeline(spark, path, "mlp")
-    return score_rows(rows.where(~learn).withColumnRenamed("record_id", "session_id"), model, stats, names, catalog.THRESHOLDS["mlp"][0])
+    return path
+
+
+@query("score_answers")
+def score_answers(spark, sf_dir, path: str | None = None):
+    """F11 + S5 + I6 + P6: form rows -> scaler -> MLP (saved and loaded once) -> RISK band on the raw score.
+
+    The model is fitted on a third of the sessions and scores the others.
+    """
+    model, stats = mo.load_pipeline(spark, path or form_model(spark, sf_dir), "mlp")
+    others = QI.validated_df(spark, sf_dir).where(~_learns(F.col("session_id")))
+    return score_rows(ik.answers_to_features(ik.replay(others)), model, stats, ik.model_feature_names(), catalog.THRESHOLDS["mlp"][0])
+
+
+@query("score_stream")
+def score_stream_query(spark, sf_dir, path: str | None = None):
+    """T1 + F11: the same sessions scored as their answers arrive; equals ``score_answers`` under one model."""
+    answers = QS.answers_stream(spark, sf_dir).where(~_learns(F.col("session_id")))
+    out = scratch_path(spark, "score-stream")
+    score_stream(answers, out, path or form_model(spark, sf_dir), catalog.THRESHOLDS["mlp"][0])
+    return read_latest(spark, out, ["session_id"])
 
 
 @query("stacked_rows", S.with_(*QF._FULL) + "SELECT record_id, split, feature, round(value, 9) AS value FROM ftab "

@@ -18,7 +18,7 @@ def _orders_stream(spark, sf_dir):
     return st.file_stream(spark, f"{sf_dir}/orders.parquet", schema)
 
 
-def _answers_stream(spark, sf_dir):
+def answers_stream(spark, sf_dir):
     """The answers recipe applied to a stream of ``orders`` files (stateless)."""
     orders = _orders_stream(spark, sf_dir)
     return SI.answers_from_orders(spark, orders)
@@ -28,7 +28,7 @@ def _answers_stream(spark, sf_dir):
 def validate_stream(spark, sf_dir):
     """Answers validated as they arrive; equals the batch validation."""
     out = st.stream_out(spark, "validate-stream")
-    st.run_to_parquet(st.validate_stream(_answers_stream(spark, sf_dir)), out, "append", "t1")
+    st.run_to_parquet(st.validate_stream(answers_stream(spark, sf_dir)), out, "append", "t1")
     return st.read_all(spark, out).select("session_id", "seq", "field", "ok", "value", "number", "message")
 
 
@@ -36,7 +36,7 @@ def validate_stream(spark, sf_dir):
 def feature_stream(spark, sf_dir):
     """T1 + F10: answers validated as they arrive and turned into model rows; equals the batch rows."""
     out = st.stream_out(spark, "feature-stream")
-    st.feature_stream(_answers_stream(spark, sf_dir), out)
+    st.feature_stream(answers_stream(spark, sf_dir), out)
     return stable(st.read_latest(spark, out, ["session_id", "feature"]))
 
 
@@ -44,7 +44,7 @@ def feature_stream(spark, sf_dir):
 def session_stream(spark, sf_dir):
     """Per-session answers folded in update mode (no optional gate)."""
     out = st.stream_out(spark, "session-stream")
-    v = st.validate_stream(_answers_stream(spark, sf_dir))
+    v = st.validate_stream(answers_stream(spark, sf_dir))
     st.run_to_parquet(st.session_stream(v), out, "update", "t2")
     return st.fold_session_output(st.read_latest(spark, out, ["session_id", "field"]))
 

@@ -60,6 +60,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def cut(df, name: str):
+    """``df`` written to the shared folder and read back: later jobs start from the files."""
+    path, schema = scratch_path(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def _sql_literal(v, dt) -> str:
     from pyspark.sql import types as T
 

@@ -70,21 +70,20 @@ def validate_stream(answers: DataFrame) -> DataFrame:
     return ik.validate(answers)
 
 
-def feature_stream(answers: DataFrame, out: str, name: str = "t1") -> str:
-    """Model rows of every session that a batch of answers touches, with all its answers so far.
+def _by_session(answers: DataFrame, out: str, name: str, finish) -> str:
+    """Run ``finish(replayed sessions)`` on every session that a batch of answers touches, with all its answers so far.
 
-    Each batch is validated and kept under ``out/answers``; the touched sessions
-    are replayed whole (optional gate included) and their rows written under
-    ``out/data``, both by batch id, so a replayed batch rewrites the same rows.
+    Each batch is validated and kept under ``out/answers``; the touched sessions are replayed whole
+    (optional gate included) and what ``finish`` makes of them is written under ``out/data``, both by batch id:
+    a batch that is run again writes the same rows to the same place.
     """
-    spark = answers.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ik.validate(batch, batch.sparkSession).write.mode("overwrite").parquet(os.path.join(out, "answers", f"batch={batch_id}"))
-        seen = batch.sparkSession.read.parquet(os.path.join(out, "answers")).where(F.col("batch") <= batch_id).drop("batch")
-        now = batch.sparkSession.read.parquet(os.path.join(out, "answers", f"batch={batch_id}")).select("session_id").distinct()
-        mine = seen.join(now, "session_id", "left_semi")
-        rows = ik.answers_to_features(ik.replay(mine))
+        spark, here = batch.sparkSession, os.path.join(out, "answers", f"batch={batch_id}")
+        ik.validate(batch, spark).write.mode("overwrite").parquet(here)
+        seen = spark.read.parquet(os.path.join(out, "answers")).where(F.col("batch") <= batch_id).drop("batch")
+        now = spark.read.parquet(here).select("session_id").distinct()
+        rows = finish(ik.replay(seen.join(now, "session_id", "left_semi")))
         rows.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(os.path.join(out, "data", f"batch={batch_id}"))
 
     q = (
@@ -96,6 +95,21 @@ def feature_stream(answers: DataFrame, out: str, name: str = "t1") -> str:
     return out
 
 
+def feature_stream(answers: DataFrame, out: str, name: str = "t1") -> str:
+    """Model rows (long) of every session that a batch touches."""
+    return _by_session(answers, out, name, ik.answers_to_features)
+
+
+def score_stream(answers: DataFrame, out: str, model_path: str, threshold: float, name: str = "t1s") -> str:
+    """T1 + F11: ``(session_id, band, risk_score)`` of every session that a batch touches.
+
+    Model and scaler are read once, when the stream starts; every batch is scored with them.
+    """
+    model, stats = mo.load_pipeline(answers.sparkSession, model_path, "mlp")
+    names = ik.model_feature_names()
+    return _by_session(answers, out, name, lambda sessions: score_rows(ik.answers_to_features(sessions), model, stats, names, threshold))
+
+
 def score_rows(rows: DataFrame, model, stats: DataFrame, names: list[str], threshold: float) -> DataFrame:
     """T1 + F11: scale and score model rows (long) with a saved model: ``(session_id, band, risk_score)``."""
     rows = rows.withColumnRenamed("session_id", "record_id")
