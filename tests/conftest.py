@@ -44,3 +44,9 @@ def features_of(df, record_id=None):
         if record_id is None or r["record_id"] == record_id:
             out[(r["record_id"], r["feature"])] = r["value"]
     return out
+
+
+def rows_in_one_partition(plan):
+    """Exchanges into one partition that carry rows of the data, not sums or sketches of an aggregate below."""
+    lines = plan.splitlines()
+    return [x for x, below in zip(lines, lines[1:]) if "SinglePartition" in x and "Aggregate(" not in below]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import rows_in_one_partition
 from wardflow.operators.ranks import exact_median, exact_mode, row_ranks, running_totals
 
 
@@ -35,12 +36,12 @@ def test_hot_path_plan_has_no_single_partition(spark):
     df = spark.range(0, 2000).selectExpr("cast(id as double) as k", "1L as v")
     out = running_totals(df, "k", ["v"])
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan and "NestedLoop" not in plan
+    assert not rows_in_one_partition(plan) and "NestedLoop" not in plan
     got = sorted((r.k, r.cum_v, r.total_v) for r in out.collect())
     assert got == [(float(i), i + 1, 2000) for i in range(2000)]
     grouped = running_totals(df.withColumn("g", F.col("k") % 2), "k", ["v"], partition_cols=["g"])
     plan = grouped._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan and "NestedLoop" not in plan
+    assert not rows_in_one_partition(plan) and "NestedLoop" not in plan
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 10])
@@ -82,3 +83,28 @@ def test_keys_keep_their_type(spark):
 def test_mode_smallest_on_tie(spark):
     df = spark.createDataFrame([(1.0,), (0.0,), (1.0,), (0.0,), (None,)], "v double")
     assert exact_mode(df, [], "v").first()["mode"] == 0.0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_heavy_key_is_cut_by_ties_and_no_job_runs_at_build_time(spark, descending):
+    rnd = random.Random(2)
+    rows = [(5.0, i) for i in range(600)] + [(float(rnd.randrange(20)), 1000 + i) for i in range(300)]
+    df = spark.createDataFrame(rnd.sample(rows, len(rows)), "k double, id long").repartition(4)
+    tracker, group = spark.sparkContext.statusTracker(), f"build-{descending}"
+    spark.sparkContext.setJobGroup(group, "")
+    ranked = row_ranks(df, "k", tie_cols=["id"], descending=descending)
+    assert len(tracker.getJobIdsForGroup(group)) == 0
+    spark.sparkContext.setJobGroup("", "")
+    want = sorted(rows, key=lambda r: (-r[0] if descending else r[0], r[1]))
+    assert [(r.k, r.id) for r in sorted(ranked.collect(), key=lambda r: r["rank"])] == want
+    from wardflow.operators.ranks import _bucketed
+
+    sizes = [r["count"] for r in _bucketed(df, "k", "id", descending).groupBy("_b").count().collect()]
+    assert max(sizes) < 150  # the heavy key alone holds over 600 rows
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "decimal(20,3)", "float", "int"])
+def test_other_kinds_of_keys(spark, kind):
+    from_days = "date_add(date'2020-01-01', cast(id as int))" if kind in ("date", "timestamp", "timestamp_ntz") else "id * 7 - 300"
+    df = spark.range(150).selectExpr(f"cast({from_days} as {kind}) as k", "id")
+    assert {r.id: r["rank"] for r in row_ranks(df, "k").collect()} == {i: i + 1 for i in range(150)}

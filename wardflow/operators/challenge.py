@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wardflow import catalog
 from wardflow.operators.ranks import row_ranks, running_totals
+from wardflow.session import cut
 from wardflow.session import local_frame
 
 
@@ -96,7 +97,8 @@ def risk_groups(scored: DataFrame, groups: int = catalog.RISK_GROUPS) -> DataFra
     start = F.col("end") - F.col("cnt")
     g_first = _group_of(start + 1, F.col("n"), groups)
     g_last = _group_of(F.col("end"), F.col("n"), groups)
-    rt = rt.withColumn("g_first", g_first).withColumn("g_last", g_last)
+    # Read by two branches, and the rows of the second one three times: each written once.
+    rt = cut(rt.withColumn("g_first", g_first).withColumn("g_last", g_last), "risk-ranks")
 
     whole = rt.where(F.col("g_first") == F.col("g_last")).select(
         "model", F.col("g_first").alias("decile"), "cnt",
@@ -106,7 +108,7 @@ def risk_groups(scored: DataFrame, groups: int = catalog.RISK_GROUPS) -> DataFra
     split = rt.where(F.col("g_first") != F.col("g_last")).select(
         "model", "score", (F.col("end") - F.col("cnt")).alias("start"), F.col("n").alias("rows_total")
     )
-    rows = base.join(F.broadcast(split), ["model", "score"], "inner")
+    rows = cut(base.join(F.broadcast(split), ["model", "score"], "inner"), "risk-boundaries")
     ranked = row_ranks(rows, "record_id", partition_cols=["model", "score"])
     parts = ranked.select(
         "model", _group_of(F.col("start") + F.col("rank"), F.col("rows_total"), groups).alias("decile"),

@@ -2,32 +2,73 @@
 
 Spark plans ``Window.orderBy(...)`` without ``partitionBy`` as one task over all
 rows, and ``percentile`` keeps every distinct value of a group in one buffer.
-Both break when a group is large. Here all rows are dealt by range of (group,
-key, ties) once, whatever the sizes, and written to the shared folder with the
-number of their range. A group that spans several ranges is then ordered range
-by range: the sums of each (group, range), a table with at most one row per
-group and range, give every range its offset. Keys keep their own type, and
-nothing is read on the driver.
-
-Rows that agree in group, key and ties share a range: aggregate to distinct
-keys first (a histogram), or add a tie-breaker via ``tie_cols``.
+Both break when a group is large. Here a row's place is cut in two: its bucket, a
+pure expression of its key, and its place among the rows of the bucket. Buckets
+lie between edges, quantiles of the keys, that a subquery of the same plan finds (an approximate
+sketch does: any edges give right results, they only spread rows). The sums of each (group, bucket), a
+table with at most one row per group and bucket, give every bucket its offset.
+Nothing is written, collected or sampled, and building a query starts no job.
+
+A key that equals an edge has a bucket of its own; where such a key holds many rows
+(several quantiles are that key) the bucket is cut again, by edges of the first tie column. Strings are
+cut by their first bytes as a number, dates and numbers as they are. Rows that agree in group, key
+and first tie column share a bucket: aggregate to distinct keys first (a histogram), or add a
+tie-breaker via ``tie_cols``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from wardflow.session import scratch_path
-
-
-def _ranged(df: DataFrame, order: list) -> DataFrame:
-    """``df`` dealt by range of ``order`` and read back, ``_b`` the number of each row's range."""
-    path = scratch_path(df.sparkSession, "ranges")
-    df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from pyspark.sql import types as T
+
+#: Bytes of a string that make its number, and the least and most edges (the number of shuffle partitions lies between).
+LETTERS, LEAST_EDGES, MOST_EDGES = 7, 15, 4095
+
+
+def _number(df: DataFrame, col: str) -> Column:
+    """The key, or for strings a number that never falls where they rise."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, LETTERS)), 2 * LETTERS, "0")
+        return F.conv(head, 16, 10).cast("long")
+    if isinstance(kind, T.BooleanType):
+        return F.col(col).cast("int")
+    return F.unix_micros(F.col(col).cast("timestamp")) if isinstance(kind, (T.TimestampNTZType, T.TimestampType)) else F.col(col)
+
+
+def _edges(df: DataFrame, col: str, n: int) -> Column:
+    """``n`` quantiles of the key, in order, as a subquery of the plan."""
+    at = F.array(*(F.lit((i + 1) / (n + 1)) for i in range(n))) if n < 64 else F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i / F.lit(n + 1.0))
+    # All columns are asked for, so that the rows below are those of the plan around and an exchange among them is shared.
+    found = F.percentile_approx(_number(df, col), at, 20 * n).alias("edges")
+    return df.agg(F.struct(found, *(F.count(c).alias(f"n_{i}") for i, c in enumerate(df.columns))).alias("s")).scalar()["edges"]
+
+
+def _below(edges: Column, key: Column, n: int) -> Column:
+    """How many of the ``n`` (2**i - 1) edges lie below the key: a binary search."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range((n + 1).bit_length() - 1))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) < key, at + step).otherwise(at))
+
+
+def _bucketed(df: DataFrame, order_col: str, tie: str | None, descending: bool) -> DataFrame:
+    """``df`` plus ``_b``, a bucket that never falls in the order of (key, tie); ties ascend in either direction of the key."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = (1 << min(max(partitions, LEAST_EDGES), MOST_EDGES).bit_length()) - 1
+    key = _number(df, order_col)
+    cut = df.withColumn("_e", _edges(df, order_col, n)).withColumn("_k", key)
+    cut = cut.withColumn("_at", _below(F.col("_e"), F.col("_k"), n))
+    own = F.coalesce(F.get("_e", F.col("_at")) == F.col("_k"), F.lit(False))
+    # Never null: else a join on it puts tests of it (and the subquery) on the scans, and exchanges are not shared.
+    bucket = F.coalesce(2 * F.col("_at") + F.when(own, 1).otherwise(0), F.lit(0)).cast("long") * (-1 if descending else 1)
+    exact = not isinstance(df.schema[order_col].dataType, T.StringType)
+    if tie is None or not exact:
+        return cut.withColumn("_b", bucket).drop("_e", "_k", "_at")
+    heavy = own & (F.get("_e", F.col("_at")) == F.get("_e", F.col("_at") + 1))
+    cut = cut.withColumn("_te", _edges(df, tie, n)).withColumn("_t", F.when(heavy, _below(F.col("_te"), _number(df, tie), n)).otherwise(0))
+    return cut.withColumn("_b", bucket * (n + 1) + F.coalesce("_t", F.lit(0))).drop("_e", "_k", "_at", "_te", "_t")
 
 
 def running_totals(
@@ -49,11 +90,12 @@ def running_totals(
     parts = list(partition_cols)
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
     order = [key, *(F.col(t).asc() for t in tie_cols)]
-    x = _ranged(df.where(F.col(order_col).isNotNull()), [*(F.col(p) for p in parts), *order])
+    x = _bucketed(df.where(F.col(order_col).isNotNull()), order_col, tie_cols[0] if tie_cols else None, descending)
     sums = x.groupBy(*parts, "_b").agg(
-        *[F.sum(c).alias(f"_s_{c}") for c in sum_cols], *[F.max(c).alias(f"_m_{c}") for c in max_cols], (F.max("_b") * 0).alias("_all")
+        *[F.sum(c).alias(f"_s_{c}") for c in sum_cols], *[F.max(c).alias(f"_m_{c}") for c in max_cols]
     )
-    whole = Window.partitionBy(*parts, "_all")
+    # Over a table of one row per group and bucket.
+    whole = Window.partitionBy(*parts)
     before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     named = [F.col(p).alias(f"_g_{i}") for i, p in enumerate(parts)]
     offs = sums.select(
@@ -83,8 +125,7 @@ def row_ranks(
 ) -> DataFrame:
     """Add ``rank`` (1-based row number in (order_col, tie_cols) order) and ``n``.
 
-    Ranges are cut by key and ties together, so a key value that holds a large
-    share of the rows is split by its ties.
+    A key value that holds a large share of the rows is split by its first tie column.
     """
     out = running_totals(df.withColumn("_one", F.lit(1).cast("long")), order_col, ["_one"], partition_cols=partition_cols,
                          tie_cols=tie_cols, descending=descending)
