@@ -36,25 +36,32 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPACE), "")
 
 
-def grams(ws: Column) -> Column:
-    """Buckets of the words, then of the pairs of neighbours (the last word pairs with nothing)."""
-    dims = F.lit(DIMS)
-    one = F.transform(ws, lambda w: F.pmod(F.xxhash64(w), dims).cast("int"))
-    two = F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda a, b: F.pmod(F.xxhash64(a, b), dims).cast("int"))
-    return F.concat(one, two)
+def hashes(ws: Column) -> Column:
+    """A 64-bit hash per word; n-grams and windows are made of these, so a word is hashed once."""
+    return F.transform(ws, lambda w: F.xxhash64(w))
+
+
+def _pairs(hs: Column) -> Column:
+    """Bucket of each word with its neighbour (the last word pairs with nothing)."""
+    return F.zip_with(hs, F.slice(hs, 2, F.greatest(F.size(hs), F.lit(1))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(DIMS)).cast("int"))
+
+
+def grams(hs: Column) -> Column:
+    """Buckets of the words (given by their hashes), then of the pairs of neighbours."""
+    return F.concat(F.transform(hs, lambda h: F.pmod(h, F.lit(DIMS)).cast("int")), _pairs(hs))
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) plus ``ws`` and the base counts."""
+    """``docs`` (doc_id, text, ...) plus ``ws``, ``hs`` (the words' hashes) and the base counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumn("ws", words(F.col("text")))
+    out = docs.withColumn("ws", words(F.col("text"))).withColumn("hs", hashes(F.col("ws")))
     out = out.withColumns({
         "n_words": F.size("ws").cast("long"),
         "word_chars": F.length(F.translate(text, _WHITE, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "lines_": lines,
-        "windows_": F.when(F.size("ws") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("ws") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("ws", i, WINDOW)))).otherwise(F.array().cast("array<long>")),
+        "windows_": F.when(F.size("ws") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("ws") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hs", i, WINDOW)))).otherwise(F.array().cast("array<long>")),
     })
     out = out.withColumns({
         "n_dup_lines": (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long"),
@@ -75,7 +82,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> li
     ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumn("trusted", F.lit(1))
     marked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
-    each = marked.select(F.coalesce("trusted", F.lit(0)).alias("t"), F.explode(grams(words(F.col("text")))).alias("k"))
+    each = marked.select(F.coalesce("trusted", F.lit(0)).alias("t"), hashes(words(F.col("text"))).alias("hs")).select("t", F.explode(grams(F.col("hs"))).alias("k"))
     counts = each.groupBy("k").agg(F.sum("t").alias("t"), F.count("*").alias("c"))
     full = spark.range(DIMS).select(F.col("id").cast("int").alias("k")).join(counts, "k", "left").select("k", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("c", F.lit(0)).alias("c"))
     rows = sorted((r["k"], r["t"], r["c"]) for r in full.collect())
@@ -93,11 +100,12 @@ def verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
         total = F.lit(None).cast("long")
     else:
         table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")  # folded to one constant
-        total = F.aggregate(grams(F.col("ws")), F.lit(0).cast("long"), lambda s, k: s + F.get(table, k))
+        one = F.aggregate("hs", F.lit(0).cast("long"), lambda s, h: s + F.get(table, F.pmod(h, F.lit(DIMS)).cast("int")))
+        total = F.aggregate(_pairs(F.col("hs")), one, lambda s, k: s + F.get(table, k))
     out = out.withColumn("total_", total).withColumn("n_grams_", 2 * F.col("n_words"))
     good = F.coalesce(F.col("total_") >= F.round(F.lit(threshold * UNIT)).cast("long") * F.col("n_grams_"), F.lit(True))
     out = out.withColumns({"score": F.when(F.col("n_grams_") > 0, F.col("total_") / F.col("n_grams_") / UNIT), "kept": ~F.col("base_failed") & good})
-    return out.drop("ws", "total_", "n_grams_")
+    return out.drop("ws", "hs", "total_", "n_grams_")
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
