@@ -15,7 +15,6 @@ rows get equal predictions; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,6 @@ from pyspark.sql.window import Window
 from wardflow.llm.common import crc_mod, small_batches
 
 DIMS, PER_LANG, STEPS, AMBIGUOUS = 4096, 400, 300, 0.2
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
@@ -118,7 +116,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
     def run(it):
         for b in it:
             texts = b.column(1).to_pylist()
-            ok = np.array([bool(t and _LETTER.search(t)) for t in texts]) if langs else np.zeros(len(texts), bool)
+            ok = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts]) if langs else np.zeros(len(texts), bool)
             pred, score, unsure = np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
             if ok.any():
                 x = features([t for t, o in zip(texts, ok) if o])
