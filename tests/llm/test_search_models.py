@@ -159,8 +159,22 @@ def test_lm_base_score_and_model(spark):
 
 def test_lm_class_probabilities_sum_to_one(spark):
     pairs = spark.createDataFrame([(u, w, 1 + (u * w) % 5) for u in range(30) for w in range(30) if (u + w) % 3], "u int, w int, n long")
-    row, table_ = lm.fit_classes(pairs, 40)
-    assert np.allclose((10.0 ** table_[:, :40].astype(float)).sum(1), 1, atol=1e-4) and len(set(row[:30])) == 30
+    model = lm.fit_classes(pairs, 40)
+    u, w = (x.ravel() for x in np.meshgrid(np.arange(33), np.arange(40), indexing="ij"))
+    p = (10.0 ** model.of(u, w)).reshape(33, 40)
+    assert np.allclose(p.sum(1), 1, atol=1e-4) and (np.diff(model.row)[:30] == 20).all()
+    assert (p[30:] == p[30]).all()  # contexts without customers are the parent
+    assert len(model.dish) == 600 and model.value.nbytes + model.dish.nbytes == 6 * 600
+
+
+def test_draws_depend_on_the_row_alone_and_are_binomial():
+    key = np.arange(40_000).astype(np.int64)
+    at = np.arange(len(key))
+    for n, p in ((1, 0.3), (12, 0.02), (40, 0.9), (5000, 0.4)):
+        x = lm.Draws(key, 7).binomial(np.full(len(key), n), np.full(len(key), p), at)
+        assert abs(x.mean() - n * p) < 0.05 * math.sqrt(n * p * (1 - p)) and abs(x.std() / math.sqrt(n * p * (1 - p)) - 1) < 0.03 and x.min() >= 0 and x.max() <= n
+        part = lm.Draws(key[::3].copy(), 7).binomial(np.full(len(key[::3]), n), np.full(len(key[::3]), p), np.arange(len(key[::3])))
+        assert (part == x[::3]).all()
 
 
 def test_seating_keeps_its_bounds():
@@ -188,8 +202,9 @@ def test_lm_keeps_pairs_of_rare_words(spark):
     seen, other = rare[:40], rare[40:80]
     rows += [(ids[0], " ".join(f"{w} {follows[w]}" for w in seen)), (ids[1], " ".join(f"{w} {follows[x]}" for w, x in zip(seen, other)))]
     scores = []
-    for frequent, pairs in ((lm.FREQUENT, lm.FREQUENT_PAIRS), (20, 20)):
-        got = {r["doc_id"]: r["score"] for r in lm.score(documents(spark, rows), frequent=frequent, frequent_pairs=pairs).collect()}
+    for frequent, pairs, parts in ((lm.FREQUENT, lm.FREQUENT_PAIRS, 1), (20, 20, 7)):
+        docs = documents(spark, rows).repartition(parts)
+        got = {r["doc_id"]: r["score"] for r in lm.score(docs, frequent=frequent, frequent_pairs=pairs).collect()}
         assert got[ids[0]] > got[ids[1]] + 10
         scores.append(got)
-    assert all(abs(scores[0][i] - scores[1][i]) < 0.03 * abs(scores[0][i]) for i in scores[0])
+    assert all(abs(scores[0][i] - scores[1][i]) < 1e-9 * abs(scores[0][i]) + 1e-9 for i in scores[0])
