@@ -208,3 +208,9 @@ def test_lm_keeps_pairs_of_rare_words(spark):
         assert got[ids[0]] > got[ids[1]] + 10
         scores.append(got)
     assert all(abs(scores[0][i] - scores[1][i]) < 1e-9 * abs(scores[0][i]) + 1e-9 for i in scores[0])
+
+
+def test_every_passage_of_25_words_lies_whole_in_a_window():
+    for n in (49, 73, 200, 1001):
+        starts = toxicity.windows(n)
+        assert all(any(s <= a and a + 25 <= s + toxicity.WINDOW for s in starts) for a in range(n - 24))

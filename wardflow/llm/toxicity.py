@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wardflow.llm.common import WordHash, crc_mod, mix, small_batches, words_of
 
-WINDOW, STRIDE, PER_CLASS, EPOCHS, LEAST_STEPS = 48, 40, 1500, 18, 800
+WINDOW, STRIDE, PER_CLASS, EPOCHS, LEAST_STEPS = 48, 24, 1500, 18, 800
 WORDS, GRAMS, DIM, HIDDEN, ATTEND = 1 << 16, 1 << 14, 12, 8, 6
 ROWS, CHUNK = 4096, 2 << 20
 MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
