@@ -28,8 +28,7 @@ DIMS, TRUSTED, UNIT, SMOOTH = 1 << 16, 20_000, 1_000_000, 8.0
 #: Least mean log ratio of a kept text.
 THRESHOLD = -0.15
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-SYMBOLS = "#*$%&|<>"
-_WHITE = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def words(text: Column) -> Column:
@@ -58,8 +57,8 @@ def measures(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("ws", words(F.col("text"))).withColumn("hs", hashes(F.col("ws")))
     out = out.withColumns({
         "n_words": F.size("ws").cast("long"),
-        "word_chars": F.length(F.translate(text, _WHITE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.concat_ws("", "ws")).cast("long"),
+        "n_symbols": (F.size(F.split(text, SYMBOLS, -1)) - 1).cast("long"),
         "lines_": lines,
         "windows_": F.when(F.size("ws") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("ws") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hs", i, WINDOW)))).otherwise(F.array().cast("array<long>")),
     })
