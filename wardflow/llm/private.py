@@ -102,17 +102,19 @@ def _term_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``kind, value, term, action``: terms to generalise ("term") or remove ("removed") with an entity."""
+def disclosing(docs: DataFrame, found: DataFrame, each: DataFrame) -> DataFrame:
+    """``kind, value, term, action``: terms to generalise ("term") or remove ("removed") with an entity of ``each``."""
     total = found.agg(F.count("*").alias("n")).first()["n"]
-    each = _entities(found)
     p = (F.col("n_c") - 1) / F.lit(float(max(total - 1, 1)))
     entity = each.groupBy("kind", "value").agg(F.count("*").alias("n_c")).where(F.col("n_c").between(2, total - 1)).withColumn("p_c", p)
     # even if all rows of the entity had the term, one in more rows than this stays below GENERALISE
     most = (F.col("n_c") - 1 + PRIOR * F.col("p_c")) / F.pow("p_c", F.lit(1 - GENERALISE)) + 1 - PRIOR
-    held = each.join(entity.withColumn("most", most + 1e-6), ["kind", "value"])
+    held = cut(each.join(entity.withColumn("most", most + 1e-6), ["kind", "value"]), "pii-held")
+    # the loosest bound of all keeps words that no entity can reach from being joined at all
+    bound = held.agg(F.max("most").alias("most")).first()["most"]
     rows = found.join(held.groupBy("row_").agg(F.max("most").alias("row_most")), "row_")
-    terms = rows.select("row_", "row_most", F.explode(_terms(F.col("text"))).alias("term")).join(_term_rows(docs).where("n_t >= 2"), "term").where("n_t <= row_most")
+    counts = _term_rows(docs).where((F.col("n_t") >= 2) & (F.col("n_t") <= F.lit(float(bound or 0))))
+    terms = rows.select("row_", "row_most", F.explode(_terms(F.col("text"))).alias("term")).join(counts, "term").where("n_t <= row_most")
     both = held.join(terms.select("row_", "term", "n_t"), "row_").where("n_t <= most")
     both = both.groupBy("kind", "value", "term").agg(F.count("*").alias("n_ct"), F.max("n_t").alias("n_t"), F.max("p_c").alias("p_c"))
     given = (F.col("n_ct") - 1 + PRIOR * F.col("p_c")) / (F.col("n_t") - 1 + PRIOR)
@@ -120,10 +122,10 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.where(F.col("d") >= GENERALISE).select("kind", "value", "term", F.when(F.col("d") >= REMOVE, "removed").otherwise("term").alias("action"))
 
 
-def _term_spans(found: DataFrame, flags: DataFrame) -> DataFrame:
+def _term_spans(found: DataFrame, each: DataFrame, flags: DataFrame) -> DataFrame:
     """``row_, more``: places of flagged terms in the rows that hold their entity, off the base spans."""
     hit = found.where(F.size("spans") > 0)
-    todo = _entities(found).join(flags, ["kind", "value"]).groupBy("row_", "term").agg(F.min("action").alias("action"))  # "removed" < "term"
+    todo = each.join(flags, ["kind", "value"]).groupBy("row_", "term").agg(F.min("action").alias("action"))  # "removed" < "term"
     rows = hit.join(todo.select("row_").distinct(), "row_", "left_semi")
     run = F.arrays_zip(F.split("text", r"[\p{L}\p{N}]+", -1).alias("gap"), F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("run"))
     runs = rows.select("row_", F.posexplode(run).alias("i", "x")).select("row_", "i", F.length("x.gap").alias("gap"), "x.run").where(F.col("run").isNotNull())
@@ -143,7 +145,10 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
     marked = base_spans(docs.select(own, "text"))
     text = F.col("text") if whole else F.when(F.size("spans") > 0, F.col("text"))
     found = cut(marked.select("own_", text.alias("text"), "spans", F.monotonically_increasing_id().alias("row_")), "pii-spans")
-    more = cut(_term_spans(found, disclosing(docs.select("text"), found)), "pii-terms")
+    # Written step by step, so that each plan stays small on the driver.
+    each = cut(_entities(found), "pii-entities")
+    flags = cut(disclosing(docs.select("text"), found, each), "pii-flags")
+    more = cut(_term_spans(found, each, flags), "pii-terms")
     hit = found.where(F.size("spans") > 0).join(more, "row_", "left")
     hit = hit.select("own_", "text", "spans", F.concat("spans", F.coalesce("more", F.array().cast(SPAN))).alias("all_spans"))
     clean = found.where(F.size("spans") == 0).select("own_", "text", "spans", F.col("spans").alias("all_spans"))
