@@ -88,3 +88,54 @@ def test_session_stream_equals_ungated_batch(spark):
     batch = ik.session_state(ik.validate(SI.answers(spark, sf)), gate_optional=False)
     batch = sorted(tuple(r) for r in batch.select("session_id", "field", "section", "value", "number", "seq").collect())
     assert stream == batch and len(stream) > 0
+
+
+@pytest.mark.parametrize("partitions", ["2", "8", "70"])
+def test_isotonic_pools_by_range_without_rounding(spark, partitions):
+    """Scores that differ in the 7th place stay apart; any number of ranges gives Spark's own fit of the raw rows."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, int(rnd.random() < (i % 300) / 300), 1e-7 * (i % 300)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "record_id long, label int, score double")
+    raw = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated").fit(
+        df.select("score", F.col("label").cast("double")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        blocks = mo.pooled_blocks(df)
+        n_blocks, weight = blocks.count(), blocks.agg(F.sum("weight")).first()[0]
+        fitted = mo.fit_isotonic(df)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert n_blocks < 150 and weight == 1500
+    a = [r.calibrated for r in raw.transform(df).orderBy("record_id").collect()]
+    b = [r.score for r in mo.calibrate(fitted, df).orderBy("record_id").collect()]
+    assert a == pytest.approx(b, abs=1e-12) and len(set(b)) > 5
+
+
+def test_isotonic_nulls_and_ties(spark):
+    rows = [(1, 1, None), (2, None, 0.5), (3, 0, 0.2), (4, 1, 0.2), (5, 1, 0.9)]
+    df = spark.createDataFrame(rows, "record_id long, label int, score double")
+    got = {r.record_id: r.score for r in mo.calibrate(mo.fit_isotonic(df), df.where("score is not null")).collect()}
+    assert got[3] == got[4] == pytest.approx(0.5) and got[5] == pytest.approx(1.0)
+
+
+def test_staged_every_stage_from_one_transform(spark, train):
+    """Every stage equals the trees added up one by one, and the plan transforms once."""
+    model = mo.train_gbt(train, maxIter=7, minInstancesPerNode=1, subsamplingRate=1.0)
+    assert [len(v) for v in mo.leaf_values(model)] == [(t.numNodes + 1) // 2 for t in model.trees]
+    staged = mo.staged_scores(model, train)
+    got = {(r.record_id, r.stage): r.score for r in staged.collect()}
+    assert len(got) == 7 * 120
+    import math
+
+    for row in train.limit(20).collect():
+        margin = 0.0
+        for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
+            margin += weight * tree.predict(row.features)
+            assert got[(row.record_id, i + 1)] == pytest.approx(1 / (1 + math.exp(-2 * margin)), abs=1e-12)
+    plan = staged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")

@@ -7,8 +7,13 @@ metric in :mod:`wardflow.operators.metrics` compares any number of models.
 
 from __future__ import annotations
 
+import json
+import math
 import os
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -21,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow import catalog
+from wardflow.session import cut
 
 
 def with_vector(df: DataFrame, array_col: str = "features", out: str = "features") -> DataFrame:
@@ -57,22 +63,62 @@ def weight_correction(scored: DataFrame, w0: float, w1: float) -> DataFrame:
     return scored.withColumn("score", (F.lit(w1) * p) / (F.lit(w1) * p + F.lit(w0) * (1 - p)))
 
 
-def fit_isotonic(scored: DataFrame, decimals: int | None = 4) -> IsotonicRegressionModel:
-    """M6 fit: monotone map score -> observed rate (ties averaged).
+#: A round of pooling merges the blocks of this many neighbouring ranges in one task.
+MERGE = 8
+_BLOCK = "low double, high double, labels double, weight double"
 
-    The fit pools its per-partition results on the driver, so the input is
-    first reduced to one weighted point per distinct score (tied scores are
-    averaged by the fit anyway). Scores in [0, 1] are rounded to ``decimals``
-    first, so at most 10**decimals + 1 points meet there; None keeps them all.
+
+def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adjacent violators among the sorted blocks of one task pooled: what stays has strictly rising means."""
+    kept: list[list[float]] = []
+    for batch in batches:
+        for block in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            low, high, labels, weight = block
+            while kept and kept[-1][2] * weight >= labels * kept[-1][3]:
+                last = kept.pop()
+                low, labels, weight = last[0], labels + last[2], weight + last[3]
+            kept.append([low, high, labels, weight])
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
+    for i in range(0, len(kept), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*kept[i : i + 10_000])], names=names)
+
+
+def pooled_blocks(scored: DataFrame) -> DataFrame:
+    """M6: blocks ``(low, high, labels, weight)`` of the isotonic fit, pooled by score range.
+
+    Tied scores meet in one weighted point first. Each round deals the blocks by range, pools the violators
+    of every range in its task and writes what is left; the next round has ``MERGE`` times fewer ranges.
+    Pooling within a range never undoes a pool of the whole fit, so the order of the rounds changes nothing,
+    and sums of labels and weights are whole numbers, exact up to 2^53. The blocks of up to ``MERGE`` last
+    ranges may still hold violators at the seams. NULL scores or labels are left out.
     """
-    s = F.col("score").cast("double")
-    if decimals is not None:
-        s = F.round(s, decimals)
-    pts = scored.select(s.alias("score"), F.col("label").cast("double").alias("label")).where(
-        F.col("score").isNotNull()
-    ).groupBy("score").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    score, label = F.col("score").cast("double"), F.col("label").cast("double")
+    points = scored.where(score.isNotNull() & label.isNotNull()).groupBy(score.alias("low")).agg(
+        F.sum(label).alias("labels"), F.count(F.lit(1)).cast("double").alias("weight"))
+    blocks = cut(points.select("low", F.col("low").alias("high"), "labels", "weight"), "isotonic-points")
+    ranges = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        dealt = blocks.repartitionByRange(ranges, "low").sortWithinPartitions("low")
+        blocks = cut(dealt.mapInArrow(_pool, _BLOCK), "isotonic-blocks")
+        if ranges <= MERGE:
+            return blocks
+        ranges = -(-ranges // MERGE)
+
+
+def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
+    """M6 fit: monotone map score -> observed rate (ties averaged), from every distinct score.
+
+    Spark's own fit gathers the pooled points of all partitions on the driver; here it gets the two ends of
+    each block of :func:`pooled_blocks`, so the driver holds the blocks of the last merge, about what the
+    fitted model itself holds.
+    """
+    blocks = pooled_blocks(scored)
+    rate = F.col("labels") / F.col("weight")
+    alone = F.col("low") == F.col("high")
+    ends = F.when(alone, F.array("low")).otherwise(F.array("low", "high"))
+    points = blocks.select(rate.alias("label"), (F.col("weight") / F.size(ends)).alias("weight"), F.explode(ends).alias("score"))
     return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight",
-                              predictionCol="calibrated").fit(pts)
+                              predictionCol="calibrated").fit(points)
 
 
 def calibrate(model: IsotonicRegressionModel, scored: DataFrame) -> DataFrame:
@@ -82,27 +128,43 @@ def calibrate(model: IsotonicRegressionModel, scored: DataFrame) -> DataFrame:
     return out.select(*[F.col("calibrated").alias("score") if c == "score" else F.col(c) for c in cols])
 
 
+def leaf_values(model: GBTClassificationModel) -> list[list[float]]:
+    """Per tree its leaves' predictions from left to right, the order in which ``leafCol`` numbers them."""
+    trees = re.split(r"^ *Tree \d+ .*$", model.toDebugString, flags=re.M)[1:]
+    return [[float(v) for v in re.findall(r"^ *Predict: (\S+)$", t, flags=re.M)] for t in trees]
+
+
 def staged_scores(model: GBTClassificationModel, df: DataFrame, name: str = "gbt") -> DataFrame:
     """M4 + W2: probability after every boosting round.
 
-    Each tree predicts JVM-side; a record's weighted contributions are one array,
-    folded to its running sums in place and then exploded to ``(record_id,
-    stage)`` rows: no exchange. p = 1 / (1 + exp(-2 F)).
+    One transform gives a record's leaf in every tree; a constant table (one value per leaf of the model,
+    times the tree's weight) turns them into contributions. Their running sums come from sums of blocks of
+    about sqrt(trees), within the row, and are exploded to ``(record_id, stage)`` rows: no exchange.
+    p = 1 / (1 + exp(-2 F)).
     """
-    trees = model.trees
-    weights = model.treeWeights
-    x = df.select("record_id", "label", "features")
-    cols = []
-    for i, t in enumerate(trees):
-        t = t.copy()
-        t.setFeaturesCol("features")
-        t.setPredictionCol(f"_t{i}")
-        x = t.transform(x)
-        cols.append(F.col(f"_t{i}") * F.lit(float(weights[i])))
-    sums = F.aggregate(
-        F.array(*cols), F.array().cast("array<double>"),
-        lambda s, c: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + c)))
-    long = x.select("record_id", "label", F.posexplode(sums).alias("i", "margin"))
+    table = [[v * w for v in leaves] for leaves, w in zip(leaf_values(model), model.treeWeights)]
+    n = len(table)
+    width = math.isqrt(n - 1) + 1
+    leaf_model = model.copy()
+    leaf_model.setLeafCol("_leaf")
+    x = leaf_model.transform(df.select("record_id", "label", "features"))
+    values = F.from_json(F.lit(json.dumps(table)), "array<array<double>>")  # folded to one constant
+    x = x.select("record_id", "label", F.zip_with(vector_to_array("_leaf"), values, lambda at, v: F.get(v, at.cast("int"))).alias("_v"))
+
+    def total(first, count):
+        return F.aggregate(F.slice("_v", first + 1, count), F.lit(0.0), lambda s, v: s + v)
+
+    starts = F.array(*(F.lit(i) for i in range(0, n, width)))
+    x = x.withColumn("_blocks", F.transform(starts, lambda i: total(i, F.lit(width))))
+    x = x.withColumn("_before", F.transform(starts, lambda i: F.aggregate(
+        F.slice("_blocks", F.lit(1), (i / width).cast("int")), F.lit(0.0), lambda s, v: s + v)))
+
+    def upto(i):
+        block = F.floor(i / width).cast("int")
+        return F.get("_before", block) + total(block * width, i - block * width + 1)
+
+    margins = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), upto)
+    long = x.select("record_id", "label", F.posexplode(margins).alias("i", "margin"))
     return long.select(
         F.lit(name).alias("model"), "record_id", "label", (F.col("i") + 1).alias("stage"),
         (1 / (1 + F.exp(-2 * F.col("margin")))).alias("score"),
