@@ -88,10 +88,12 @@ def test_sequences_checks(spark):
     lab = spark.createDataFrame([(1, 0), (2, 1)], "record_id long, label int")
     seq = fx.to_sequences(vec, lab, 2).orderBy("record_id").collect()
     assert seq[1]["sequence"] == [[3.0, 4.0]]
-    with pytest.raises(ValueError):
-        fx.to_sequences(vec, lab.where("record_id = 1"), 2)  # id_mismatch: never positional
-    with pytest.raises(ValueError):
-        fx.to_sequences(vec, lab, 3)
+    with pytest.raises(Exception, match="do not pair up at record 2"):
+        fx.to_sequences(vec, lab.where("record_id = 1"), 2).collect()  # id_mismatch: never positional
+    with pytest.raises(Exception, match="do not pair up at record 2"):
+        fx.to_sequences(vec.where("record_id = 1"), lab, 2).count()
+    with pytest.raises(Exception, match="not the 3 features"):
+        fx.to_sequences(vec, lab, 3).collect()
 
 
 def test_feature_plan_stays_jvm_side(spark):

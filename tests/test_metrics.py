@@ -105,8 +105,16 @@ def test_score20_by_hand(spark):
 def test_id_mismatch(spark):
     pred = spark.createDataFrame([(1, 1, 0.9), (2, 0, 0.1)], "record_id long, pred int, score double")
     outc = spark.createDataFrame([(1, 1), (3, 0)], "record_id long, label int")
-    with pytest.raises(ValueError):
-        ch.match_outcomes(pred, outc)
+    with pytest.raises(Exception, match="record 2 lacks its outcome|record 3 lacks its prediction"):
+        ch.match_outcomes(pred, outc).collect()
+    with pytest.raises(Exception, match="lacks its"):
+        ch.match_outcomes(pred, outc).count()
+    assert [r.record_id for r in ch.match_outcomes(pred, outc, strict=False).collect()] == [1]
+    whole = ch.match_outcomes(pred, spark.createDataFrame([(1, 1), (2, 0)], "record_id long, label int"))
+    assert sorted(map(tuple, whole.collect())) == [(1, 1, 0.9, 1), (2, 0, 0.1, 0)]
+    none = spark.createDataFrame([(None, 1)], "record_id long, label int")
+    with pytest.raises(Exception, match="record NULL lacks its prediction"):
+        ch.match_outcomes(pred.limit(0), none).collect()
     rep = ch.alignment_report(pred, outc).first()
     assert (rep["matched"], rep["only_left"], rep["only_right"]) == (1, 1, 1)
 

@@ -42,3 +42,23 @@ def test_scan_prunes_columns_and_pushes_filters(spark, queries):
     p = queries["features_events"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), In(event_type" in p
     assert "props" not in p  # the unused JSON column is never read
+
+
+def test_strict_match_deals_each_side_once_and_starts_no_job(spark, queries):
+    """One exchange by id and one sort per side of the join; the checks add none and run nothing at build time."""
+    from wardflow.operators.challenge import match_outcomes
+
+    p = plan_of(queries["strict_match"](spark, SF))
+    dealt = [x for x in p.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 2 and all("record_id" in x for x in dealt)
+    assert sum("- Sort [" in x for x in p.splitlines()) == 2
+    pred = spark.range(9).selectExpr("'m' AS model", "id AS record_id", "0.5D AS score")
+    out = spark.range(9).selectExpr("id AS record_id", "1 AS label")
+    group = "strict-match"
+    spark.sparkContext.setJobGroup(group, "building the plan")
+    try:
+        built = match_outcomes(pred, out)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert built.count() == 9

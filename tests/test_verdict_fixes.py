@@ -52,8 +52,12 @@ def test_repeated_ids_are_counted_once_and_refused(spark):
     pred = spark.createDataFrame([("m", 1, 0.1), ("m", 1, 0.2), ("m", 2, 0.3)], "model string, record_id long, score double")
     out = spark.createDataFrame([(1, 0), (1, 1), (3, 1)], "record_id long, label int")
     assert tuple(ch.alignment_report(pred, out).first()) == (1, 1, 1)
-    with pytest.raises(ValueError, match="1 repeated predictions, 1 repeated outcomes"):
-        ch.match_outcomes(pred, out, strict=False)
+    with pytest.raises(Exception, match="repeated outcome: 1|repeated prediction"):
+        ch.match_outcomes(pred, out, strict=False).collect()
+    with pytest.raises(Exception, match="repeated outcome: 1"):
+        ch.match_outcomes(spark.createDataFrame([("m", 1, 0.1), ("m", 3, 0.3)], pred.schema), out).collect()
+    with pytest.raises(Exception, match="repeated prediction: 1 m"):
+        ch.match_outcomes(pred, out.where("record_id = 3"), strict=False).count()
 
 
 def test_record_without_an_id_fails(spark):

@@ -88,6 +88,11 @@ _MOD = 2147483647  # 2^31 - 1
 _MUL = 48271
 
 
+def required(condition: Column, message: Column | str) -> Column:
+    """A filter that keeps every row and fails the job at the first row where ``condition`` is false or NULL."""
+    return F.when(condition, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+
+
 def lehmer(col, seed: int = 0, rounds: int = 2) -> Column:
     """Deterministic integer hash in [0, 2^31-1) that DuckDB can reproduce.
 

@@ -8,10 +8,11 @@ so neither a global sort nor one large tied block lands in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow import catalog
+from wardflow.functions.scalar import required
 from wardflow.operators.ranks import row_ranks, running_totals
 from wardflow.session import cut
 from wardflow.session import local_frame
@@ -37,21 +38,35 @@ def _sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def match_outcomes(pred: DataFrame, outcomes: DataFrame, strict: bool = True) -> DataFrame:
-    """Predictions joined to outcomes by id; raises when an outcome id, or a (model, id) of the
-    predictions, occurs twice. ``strict`` raises too when any id is unmatched."""
-    per = [c for c in ("model", "record_id") if c in pred.columns]
-    twice = pred.groupBy(*per).agg(F.count(F.lit(1)).alias("n")).where("n > 1").count(), outcomes.groupBy("record_id").agg(
-        F.count(F.lit(1)).alias("n")).where("n > 1").count()
-    if any(twice):
-        raise ValueError(f"Improper input: {twice[0]} repeated predictions, {twice[1]} repeated outcomes")
+    """Predictions joined to outcomes by id. The job fails when an outcome id, or a (model, id) of the
+    predictions, occurs twice; with ``strict`` also when an id has no partner on the other side.
+
+    The checks are part of the one join: each side is shuffled by id once, and building the plan runs no
+    job. A NULL id has no partner: an error when ``strict``, else such rows are left out. Without ``strict``
+    an empty side gives an empty result, whatever the other side holds.
+    """
+    per = [c for c in ("record_id", "model") if c in pred.columns]  # in this order one sort serves the count and the join
+    left, right = _once(pred, per, "prediction"), _once(outcomes, ["record_id"], "outcome")
+    # A full join also where only pairs are wanted: an inner one stops reading a side whose partner has ended.
+    both = left.withColumn("_l", F.lit(1)).join(right.withColumn("_r", F.lit(1)), "record_id", "full")
+    lacks = F.when(F.col("_l").isNull(), F.lit("prediction")).otherwise(F.lit("outcome"))
+    text = F.concat(F.lit("record "), _shown("record_id"), F.lit(" lacks its "), lacks)
     if strict:
-        rep = alignment_report(pred, outcomes).first()
-        if rep["only_left"] or rep["only_right"]:
-            raise ValueError(
-                f"Improper input: {rep['only_left']} predicted ids without outcome, "
-                f"{rep['only_right']} outcomes without prediction"
-            )
-    return pred.join(outcomes, "record_id", "inner")
+        paired = required(F.col("_l").isNotNull() & F.col("_r").isNotNull(), text)
+    else:
+        paired = F.coalesce("_l", F.lit(0)) + F.coalesce("_r", F.lit(0)) == 2  # of both sides, so the join stays a full one
+    return both.where(paired).drop("_l", "_r")
+
+
+def _shown(col: str):
+    return F.coalesce(F.col(col).cast("string"), F.lit("NULL"))
+
+
+def _once(rows: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """``rows``, dealt by record id; a key that occurs twice fails the job."""
+    counted = rows.repartition("record_id").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    text = F.concat(F.lit(f"repeated {what}: "), F.concat_ws(" ", *(_shown(k) for k in keys)))
+    return counted.where(required(F.col("_n") == 1, text)).drop("_n")
 
 
 def event1(scored: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow import catalog
-from wardflow.functions.scalar import mask_sentinel, one_hot
+from wardflow.functions.scalar import mask_sentinel, one_hot, required
 from wardflow.operators.ranks import exact_median, exact_mode
 
 AGG_COLUMNS = ("mean", "median", "min", "max", "std", "first", "last", "missing", "delta", "range")
@@ -230,18 +230,15 @@ def to_vector(long: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def to_sequences(vectors: DataFrame, labels: DataFrame, n_features: int) -> DataFrame:
-    """``(N, F)`` -> ``(N, 1, F)`` joined to labels by id, with checks.
+    """``(N, F)`` -> ``(N, 1, F)`` joined to labels by id.
 
-    Raises when a vector has the wrong width or an id is on one side only.
+    The job fails at a vector of another width and at an id that only one side has; the checks
+    are part of the one join, so building the plan runs no job.
     """
-    bad_width = vectors.where(F.size("features") != n_features).limit(1).count()
-    if bad_width:
-        raise ValueError(f"Column count mismatch: expected {n_features} features")
-    only_x = vectors.join(labels, "record_id", "left_anti").limit(1).count()
-    only_y = labels.join(vectors, "record_id", "left_anti").limit(1).count()
-    if only_x or only_y:
-        raise ValueError("Label count mismatch: record ids differ between features and labels")
-    return vectors.join(labels, "record_id", "inner").select(
+    wide = vectors.where(required(F.size("features") == n_features, f"a vector has not the {n_features} features declared"))
+    both = wide.withColumn("_x", F.lit(1)).join(labels.withColumn("_y", F.lit(1)), "record_id", "full")
+    text = F.concat(F.lit("vectors and labels do not pair up at record "), F.coalesce(F.col("record_id").cast("string"), F.lit("NULL")))
+    return both.where(required(F.col("_x").isNotNull() & F.col("_y").isNotNull(), text)).select(
         "record_id", F.array(F.col("features").cast("array<float>")).alias("sequence"), "label"
     )
 

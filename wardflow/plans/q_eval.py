@@ -232,6 +232,14 @@ def prediction_match(spark, sf_dir):
     return ch.alignment_report(pred, other)
 
 
+@query("strict_match", S.with_(_SCORED) + """SELECT p.model, p.record_id, p.pred, p.score, CAST(o.o_orderstatus = 'F' AS INTEGER) AS outcome
+  FROM sc p JOIN orders o ON o.o_orderkey = p.record_id""")
+def strict_match(spark, sf_dir):
+    """Every model's predictions joined to their outcomes; a repeated or unmatched id fails the job."""
+    outcomes = SI.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), (F.col("o_orderstatus") == "F").cast("int").alias("outcome"))
+    return ch.match_outcomes(scored(spark, sf_dir).select("model", "record_id", "pred", "score"), outcomes)
+
+
 @query("predictions_roundtrip", S.with_(_SCORED) + "SELECT record_id, pred, score FROM sc WHERE model = 'mlp'")
 def predictions_roundtrip(spark, sf_dir):
     """Header-less prediction CSV written to the shared folder and read back."""
