@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wardflow.session import scratch_path
 
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts fits a worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 #: Word boundaries of every word-based operator: space, tab, LF, VT, FF, CR.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
@@ -63,7 +63,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit xxh3, remembered for frequent words; emptied when it holds too many."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
