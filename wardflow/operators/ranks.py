@@ -41,7 +41,8 @@ def _number(df: DataFrame, col: str) -> Column:
 
 def _edges(df: DataFrame, col: str, n: int) -> Column:
     """``n`` quantiles of the key, in order, as a subquery of the plan."""
-    at = F.array(*(F.lit((i + 1) / (n + 1)) for i in range(n))) if n < 64 else F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i / F.lit(n + 1.0))
+    # A text of literals: a quantile must be a constant, and a column built of thousands of parts is slow.
+    at = F.expr("array(" + ", ".join(f"{(i + 1) / (n + 1)!r}D" for i in range(n)) + ")")
     # All columns are asked for, so that the rows below are those of the plan around and an exchange among them is shared.
     found = F.percentile_approx(_number(df, col), at, 20 * n).alias("edges")
     return df.agg(F.struct(found, *(F.count(c).alias(f"n_{i}") for i, c in enumerate(df.columns))).alias("s")).scalar()["edges"]
