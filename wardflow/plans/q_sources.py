@@ -13,6 +13,10 @@ from wardflow.sources import readings as rd
 from wardflow.sources import standins as SI
 
 
+# Tasks move their own files into place; by default the driver moves all of them, one after another.
+COMMIT = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
 @query("readings_roundtrip", S.with_(S.READINGS) + "SELECT " + S.split_sql("record_id")
        + " AS split, record_id, t, parameter, value FROM readings")
 def readings_roundtrip(spark, sf_dir):
@@ -27,7 +31,7 @@ def readings_roundtrip(spark, sf_dir):
         rows.where(F.col("split") == split).select(
             F.concat(F.col("record_id").cast("string"), F.lit(".txt")).alias("file"),
             elapsed_hhmm(F.greatest("t", F.lit(0))).alias("Time"), F.col("parameter").alias("Parameter"), F.col("value").alias("Value"),
-        ).write.partitionBy("file").option("header", True).csv(f"{root}/set-{split}")
+        ).write.partitionBy("file").option("header", True).option(*COMMIT).csv(f"{root}/set-{split}")
     return rd.read_readings(spark, root, splits, files="file=*.txt/*.csv")
 
 
