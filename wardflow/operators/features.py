@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wardflow import catalog
 from wardflow.functions.scalar import mask_sentinel, one_hot, required
 from wardflow.operators.ranks import exact_median, exact_mode
+from wardflow.session import local_frame
 
 AGG_COLUMNS = ("mean", "median", "min", "max", "std", "first", "last", "missing", "delta", "range")
 
@@ -219,14 +220,14 @@ def to_vector(long: DataFrame, names: Sequence[str]) -> DataFrame:
     features are NULL. Stays narrow for codegen until ML needs a vector.
     """
     idx = feature_index(names)
-    keys = list(idx.keys())
-    lookup = F.create_map(*[x for k in keys for x in (F.lit(k), F.lit(idx[k]))])
-    withi = long.withColumn("_i", lookup[F.col("feature")]).where(F.col("_i").isNotNull())
-    grouped = withi.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("_i", "value"))).alias("_m"))
-    return grouped.select(
-        "record_id",
-        F.transform(F.sequence(F.lit(0), F.lit(len(keys) - 1)), lambda i: F.col("_m")[i]).alias("features"),
-    )
+    n = len(idx)
+    places = F.broadcast(local_frame(long.sparkSession, idx.items(), "feature string, _i int"))
+    entries = F.array_sort(F.collect_list(F.struct("_i", "value")))
+    grouped = long.join(places, "feature").groupBy("record_id").agg(entries.alias("_e"))
+    # A record with every feature once is read in order; a lookup of each place costs n squared steps.
+    whole = (F.size("_e") == n) & ~F.exists(F.transform("_e", lambda e, i: e["_i"] != i), lambda x: x)
+    looked_up = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.map_from_entries("_e")[i])
+    return grouped.select("record_id", F.when(whole, F.transform("_e", lambda e: e["value"])).otherwise(looked_up).alias("features"))
 
 
 def to_sequences(vectors: DataFrame, labels: DataFrame, n_features: int) -> DataFrame:

@@ -145,7 +145,7 @@ def _learns(session):
 def form_model(spark, sf_dir) -> str:
     """Scaler and MLP fitted on the learning sessions, with the session's latest order status as label, saved
     to the shared folder; the path."""
-    rows = ik.answers_to_features(ik.replay(QI.validated_df(spark, sf_dir).where(_learns(F.col("session_id")))))
+    rows = ik.answers_to_features(ik.replay_answers(QI.answers_df(spark, sf_dir).where(_learns(F.col("session_id")))))
     rows = cut(rows.withColumnRenamed("session_id", "record_id"), "form-rows")
     names = ik.model_feature_names()
     o = SI.table(spark, sf_dir, "orders")
@@ -165,8 +165,8 @@ def score_answers(spark, sf_dir, path: str | None = None):
     The model is fitted on a third of the sessions and scores the others.
     """
     model, stats = mo.load_pipeline(spark, path or form_model(spark, sf_dir), "mlp")
-    others = QI.validated_df(spark, sf_dir).where(~_learns(F.col("session_id")))
-    return score_rows(ik.answers_to_features(ik.replay(others)), model, stats, ik.model_feature_names(), catalog.THRESHOLDS["mlp"][0])
+    others = QI.answers_df(spark, sf_dir).where(~_learns(F.col("session_id")))
+    return score_rows(ik.answers_to_features(ik.replay_answers(others)), model, stats, ik.model_feature_names(), catalog.THRESHOLDS["mlp"][0])
 
 
 @query("score_stream")
