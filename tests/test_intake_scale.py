@@ -8,6 +8,7 @@ from wardflow.operators import features as fx
 from wardflow.operators import intake as ik
 from wardflow.operators import replay as rp
 from wardflow.plans import q_intake as QI
+from wardflow.session import METHOD_BYTES, METHOD_CONF
 from wardflow.sources import standins as SI
 
 
@@ -39,6 +40,26 @@ def test_no_stage_of_the_replay_is_too_long_for_the_jit(spark, tmp_path):
     assert sizes and max(sizes) < 8000
 
 
+def test_checks_fused_with_their_input_do_not_run_as_a_method_too_long_for_the_jit(spark, tmp_path):
+    path = orders(spark, tmp_path)
+    before = spark.conf.get(METHOD_CONF)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set(METHOD_CONF, "65535")  # Spark's default, as on the driver's cluster
+    try:
+        checked, text = QI.validate_answers(spark, path), io.StringIO()
+        with contextlib.redirect_stdout(text):
+            checked.explain("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())]
+        limit = int(spark.conf.get(METHOD_CONF))
+        assert sizes and all(x < METHOD_BYTES or x > limit for x in sizes)
+        spark.conf.set(METHOD_CONF, "5000")  # a lower limit of the session's own is kept
+        QI.validate_answers(spark, path)
+        assert spark.conf.get(METHOD_CONF) == "5000"
+    finally:
+        spark.conf.set(METHOD_CONF, before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_one_file_is_spread_over_as_many_tasks_as_a_shuffle(spark, tmp_path):
     path = orders(spark, tmp_path)
     before = spark.conf.get("spark.sql.shuffle.partitions")
