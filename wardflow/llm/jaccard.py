@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.llm.common import WordHash, cut, mix, shingle_hashes, signed, small_batches, words_of
+from wardflow.llm.common import WordHash, cut, mix, release, shingle_hashes, signed, small_batches, words_of
 from wardflow.llm.components import components
 
 WIDTH, ORDER, BITS, CENTRES, FAN = 5, 1 << 20, 1 << 25, 16, 16
@@ -335,7 +335,9 @@ def _tile_search(docs: DataFrame, sets: DataFrame, members: DataFrame, points: D
     tiled = cut(_tiles(members, comp), "jaccard-tiles")
     where = ["anchor", "i", "j", "node"]
     found = cut(_by_tile(tiled.join(points, "node"), "vec", "anchor long, i long, j long, node long", candidates), "jaccard-candidates")
+    release(docs.sparkSession)
     full = _full_sets(docs, sets, found.select("node").distinct())
+    release(docs.sparkSession)
     wanted = tiled.join(found, where).join(full.withColumn("n", F.octet_length("s")), "node")
     return _ordered(_by_tile(wanted, "s", "a long, b long", tile_links))
 
@@ -406,14 +408,19 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = cut(shingle_sets(docs, levels(docs)), "jaccard-sets")
     points = cut(sets.where("vec is not null").dropDuplicates(["node"]).select("node", "n", "vec"), "jaccard-points")
+    release(docs.sparkSession)
     members = cut(_blocks(sets), "jaccard-members")
+    release(docs.sparkSession)
     tried = cut(_centre_pairs(members.join(points, "node")).groupBy("b").agg(F.min("a").alias("a")), "jaccard-tried")
+    release(docs.sparkSession)
     nodes = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
     links = cut(_verified(_full_sets(docs, sets, nodes), tried), "jaccard-links")
     comp = cut(components(links), "jaccard-comp")
+    release(docs.sparkSession)
     more = cut(_tile_search(docs, sets, members, points, comp), "jaccard-more")
     if not more.isEmpty():
         comp = cut(components(links.unionByName(more)), "jaccard-comp")
+    release(docs.sparkSession)
     least = sets.groupBy("node").agg(F.min("doc_id").alias("d"), F.first("n").alias("n"))
     linked = least.join(comp, "node")
     ids = linked.groupBy("comp").agg(F.min("d").alias("c")).join(linked, "comp").select("node", "c")
@@ -427,12 +434,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Only rows whose key may be dropped or repeated are moved; the others pass where they are.
     """
     rows = cut(join(docs.select("doc_id", "text")), "jaccard-rows").where("n_shingles > 0")
+    release(docs.sparkSession)
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(LOW)), "key"))
     group = F.struct(F.col("component_id").alias("c"), F.when(F.col("component_id").isNull(), F.col("node")).alias("node"))
     kept = rows.groupBy(group.alias("g")).agg(best["key"].alias("key"))
     per_key = rows.groupBy("key").agg(F.count("*").alias("m"))
     other = per_key.join(kept.select("key", F.lit(True).alias("keep")), "key", "left").where("keep is null or m > 1")
     other = cut(other.select("key", F.coalesce("keep", F.lit(False)).alias("keep")), "jaccard-other")
+    release(docs.sparkSession)
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own_"), F.xxhash64("doc_id", "text").alias("key"))
     keyed = keyed.withColumn("maybe", among(other.select(F.col("key").alias("d")))(F.col("key")))
     some = keyed.where("maybe").join(other, "key", "left")
