@@ -107,3 +107,28 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(300, 299), (300, 300)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 299: 299, 300: 299}
+
+
+def test_sets_move_at_most_twice_to_be_verified(spark):
+    passage = prose(80, 1).split()
+    rows = [(i, " ".join(passage[:70] + [f"x{i}"])) for i in range(6)] * 2 + [(9, prose(80, 2)), (None, " ".join(passage))]
+    docs = documents(spark, rows).selectExpr("cast(doc_id AS long) AS doc_id", "text")
+    sets = jaccard.cut(jaccard.shingle_sets(docs, jaccard.levels(docs)), "test-sets")
+    node = {r["doc_id"]: r["node"] for r in sets.collect()}
+    pairs = spark.createDataFrame([(node[0], node[i]) for i in (1, 2, 3, 9, None)], "a long, b long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = jaccard._verified(docs, sets, pairs)
+        assert sorted(map(tuple, links.collect())) == sorted((node[0], node[i]) for i in (1, 2, 3, None))
+        lines = jaccard._verified(docs, sets, pairs)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    read = next(i for i, x in enumerate(lines) if "MapInArrow read(" in x)
+    above, least = [], depth(lines[read])
+    for x in reversed(lines[:read]):
+        if depth(x) < least:
+            least = depth(x)
+            above.append(x)
+    assert sum("Exchange" in x for x in above) == 2, lines  # by node, then by star

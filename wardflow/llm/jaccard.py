@@ -369,11 +369,14 @@ def among(ids: DataFrame):
 
 
 def _full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, s``: the whole set of every node in ``nodes``, from the text of one of its rows."""
-    where = sets.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LOW))).alias("d")).join(nodes, "node", "left_semi")
-    where = cut(where, "jaccard-where")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LOW)).alias("d"), "text")
-    keyed = keyed.where(among(where.select("d"))(F.col("d")))
+    """``node, s``: the whole set of every node in ``nodes``, from the text of one of its rows.
+
+    Rows are found by (id, hash of id and text), so equal ones are dropped as they meet in that join: texts move once, sets do not.
+    """
+    least = sets.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LOW))).alias("d"), F.min_by("key", F.coalesce("doc_id", F.lit(LOW))).alias("key"))
+    where = cut(least.join(nodes, "node", "left_semi"), "jaccard-where")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LOW)).alias("d"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    keyed = keyed.where(among(where.select(F.col("key").alias("d")))(F.col("key")))
 
     def read(it):
         sets_ = Sets()
@@ -381,25 +384,39 @@ def _full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
             node, out = [], []
             for want, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = sets_.of(t)
-                if node_of(s) == want:  # an id may have other rows
+                if node_of(s) == want:
                     node.append(want)
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], names=["node", "s"])
 
-    full = keyed.join(where, "d").select("node", "text").mapInArrow(read, "node long, s binary")
-    return cut(full.dropDuplicates(["node"]), "jaccard-full")
+    rows = keyed.join(where, ["d", "key"]).dropDuplicates(["d", "key"])
+    return rows.select("node", "text").mapInArrow(read, "node long, s binary")
 
 
-def _verified(full: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets link."""
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets link. The second nodes' sets meet the first one's in stars of about TILE members, so each set moves once or twice."""
 
     def test(it):
+        star, centre = None, None
         for b in it:
-            ok = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            out = []
+            for a, part, node, raw in zip(*(c.to_pylist() for c in b.columns)):
+                s = np.frombuffer(raw, np.uint64)
+                if node == a:
+                    star, centre = (a, part), s
+                elif star == (a, part) and linked(centre, s):
+                    out.append((a, node))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=["a", "b"])
 
-    one, two = (full.select(F.col("node").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("long").alias("parts"))
+    members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.col("b").alias("node"))
+    centres = stars.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
+    rows = cut(members.unionByName(centres), "jaccard-stars")
+    full = _full_sets(docs, sets, rows.select("node").distinct())
+    release(docs.sparkSession)
+    dealt = rows.join(full, "node").repartition("a", "part").sortWithinPartitions("a", "part", F.col("node") != F.col("a"))
+    return dealt.select("a", "part", "node", "s").mapInArrow(test, "a long, b long")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -413,8 +430,8 @@ def join(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     tried = cut(_centre_pairs(members.join(points, "node")).groupBy("b").agg(F.min("a").alias("a")), "jaccard-tried")
     release(docs.sparkSession)
-    nodes = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
-    links = cut(_verified(_full_sets(docs, sets, nodes), tried), "jaccard-links")
+    links = cut(_verified(docs, sets, tried), "jaccard-links")
+    release(docs.sparkSession)
     comp = cut(components(links), "jaccard-comp")
     release(docs.sparkSession)
     more = cut(_tile_search(docs, sets, members, points, comp), "jaccard-more")
