@@ -139,3 +139,38 @@ def test_staged_every_stage_from_one_transform(spark, train):
             assert got[(row.record_id, i + 1)] == pytest.approx(1 / (1 + math.exp(-2 * margin)), abs=1e-12)
     plan = staged._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def test_boosting_reads_few_partitions_and_one_order(spark, train, monkeypatch):
+    """A fit starts from as many partitions as the vectors fill, from files, and gives one model for any layout of the rows."""
+    seen, fit = [], mo.GBTClassifier.fit
+
+    def watched(self, frame):
+        seen.append((frame.rdd.getNumPartitions(), frame._jdf.queryExecution().executedPlan().toString()))
+        return fit(self, frame)
+
+    monkeypatch.setattr(mo.GBTClassifier, "fit", watched)
+    a = mo.train_gbt(train.repartition(24), maxIter=3, minInstancesPerNode=1)
+    b = mo.train_gbt(train.repartition(5, "label"), maxIter=3, minInstancesPerNode=1)
+    assert [n for n, _ in seen] == [1, 1] and not any("Exchange" in plan for _, plan in seen)
+    assert a.toDebugString.split("\n", 1)[1] == b.toDebugString.split("\n", 1)[1]
+    monkeypatch.setattr(mo, "FIT_BYTES", 120 * 3 * 8 // 4)
+    assert mo.dealt_for_fit(train).rdd.getNumPartitions() == 4
+    assert mo.dealt_for_fit(train.where("false")).count() == 0
+    mo.train_gbt(train, maxIter=2, minInstancesPerNode=1)
+    assert seen[-1][0] == 4
+
+
+def test_fits_start_from_files(spark):
+    """Training rows come from files once: the jobs of a fit plan nothing of the feature table."""
+    from wardflow.plans import q_models as QM
+
+    rows = [(i, "abc"[i % 3], i % 2, [float(i), 1.0]) for i in range(12)]
+    made = spark.createDataFrame(rows, "record_id long, split string, label int, features array<double>")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(QM, "_vectors", lambda *a, **k: made.drop("label").join(made.select("record_id").distinct(), "record_id"))
+        patch.setattr(QM.SI, "event_outcomes", lambda *a: made.select("record_id", "label"))
+        data = QM._training(spark, "")
+    plan = data._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Exchange" not in plan and "Join" not in plan
+    assert sorted((r.record_id, r.split, r.label, r.features.toArray().tolist()) for r in data.collect()) == [tuple(r) for r in rows]

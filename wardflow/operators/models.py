@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow import catalog
-from wardflow.session import cut
+from wardflow.session import checkpoint_dir, cut
 
 
 def with_vector(df: DataFrame, array_col: str = "features", out: str = "features") -> DataFrame:
@@ -34,10 +34,27 @@ def with_vector(df: DataFrame, array_col: str = "features", out: str = "features
     return df.withColumn(out, array_to_vector(F.col(array_col)))
 
 
+#: Bytes of vectors in one task of a fit that goes over its rows many times.
+FIT_BYTES = 1 << 25
+
+
+def dealt_for_fit(train: DataFrame) -> DataFrame:
+    """Training rows in as many partitions as their vectors fill, by record and in its order, in the checkpoint folder.
+
+    Boosting runs a job for every level of every tree: a task must be worth its start, and every job plans anew
+    whatever its rows come from, so they come from files. The rows that a tree draws go by their place, so a fixed
+    place makes the model independent of how ``train`` was laid out.
+    """
+    checkpoint_dir(train.sparkSession)
+    rows, width = train.agg(F.count(F.lit(1)), F.max(F.size(vector_to_array("features")))).first()
+    parts = max(1, math.ceil(rows * (width or 0) * 8 / FIT_BYTES))
+    return train.repartition(parts, "record_id").sortWithinPartitions("record_id").checkpoint()
+
+
 def train_gbt(train: DataFrame, **overrides) -> GBTClassificationModel:
     """M1: boosting with the reference's hyper-parameters (overridable)."""
     params = {**catalog.GBT_PARAMS, **overrides}
-    return GBTClassifier(featuresCol="features", labelCol="label", **params).fit(train)
+    return GBTClassifier(featuresCol="features", labelCol="label", **params).fit(dealt_for_fit(train))
 
 
 def train_mlp(train: DataFrame, n_features: int, hidden: int = catalog.MLP_HIDDEN, max_iter: int = 50,

@@ -68,9 +68,12 @@ def sequences(spark, sf_dir):
 
 
 def _training(spark, sf_dir):
-    """Scaled vectors with labels, per split (a = train, b = test, c = validation)."""
+    """Scaled vectors with labels, per split (a = train, b = test, c = validation), in the shared folder.
+
+    Fits and scores start from the files: their hundreds of jobs plan nothing of the feature table.
+    """
     v = _vectors(spark, sf_dir, rounded_values=False).join(SI.event_outcomes(spark, sf_dir), "record_id", "inner")
-    return mo.with_vector(v).select("record_id", "split", "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    return cut(mo.with_vector(v).select("record_id", "split", "label", "features"), "training")
 
 
 def _gbt_monitored(spark, sf_dir):
@@ -82,9 +85,9 @@ def _gbt_monitored(spark, sf_dir):
 
 
 @query("gbt_scores")
-def gbt_scores(spark, sf_dir):
+def gbt_scores(spark, sf_dir, data=None):
     """M1 + U2 + M3 + P5: boosting refitted on training + validation splits stacked, test split scored (>= 0.23)."""
-    data = _training(spark, sf_dir)
+    data = _training(spark, sf_dir) if data is None else data
     stacked = data.where(F.col("split") == "a").unionByName(data.where(F.col("split") == "c"))
     model = mo.train_gbt(stacked)
     s = mo.positive_score(model, data.where(F.col("split") == "b"), "gbt")
@@ -103,8 +106,8 @@ def gbt_staged(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-def _mlp(spark, sf_dir):
-    data = _training(spark, sf_dir)
+def _mlp(spark, sf_dir, data=None):
+    data = _training(spark, sf_dir) if data is None else data
     train = data.where(F.col("split") == "a")
     weights = {r["label"]: r["weight"] for r in sm.class_weights(train).collect()}  # one row per class
     model = mo.train_mlp(train, len(QF.feature_names()))
@@ -119,9 +122,9 @@ def _mlp_scored(model, data, weights, split, name="mlp"):
 
 
 @query("mlp_calibrated")
-def mlp_calibrated(spark, sf_dir):
+def mlp_calibrated(spark, sf_dir, data=None):
     """M2 + M6: MLP with class-weight odds correction, isotonic fit on validation, test scored (> 0.35)."""
-    model, data, weights = _mlp(spark, sf_dir)
+    model, data, weights = _mlp(spark, sf_dir, data)
     iso = mo.fit_isotonic(_mlp_scored(model, data, weights, "c"))
     test = mo.calibrate(iso, _mlp_scored(model, data, weights, "b"))
     thr, strict = catalog.THRESHOLDS["mlp"]
@@ -131,8 +134,9 @@ def mlp_calibrated(spark, sf_dir):
 @query("model_comparison")
 def model_comparison(spark, sf_dir):
     """M7 + E11 + E12/E14: both models on the same test split, every metric grouped by model."""
-    g = gbt_scores(spark, sf_dir)
-    m = mlp_calibrated(spark, sf_dir)
+    data = _training(spark, sf_dir)
+    g = gbt_scores(spark, sf_dir, data)
+    m = mlp_calibrated(spark, sf_dir, data)
     scored = g.unionByName(m).persist(StorageLevel.MEMORY_AND_DISK)
     return me.metric_summary(scored).join(challenge_scores(scored), "model", "left")
 
