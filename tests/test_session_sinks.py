@@ -66,3 +66,26 @@ def test_one_batch_is_read_as_it_is(spark, tmp_path):
         assert "Exchange" not in plan and "Aggregate" not in plan
     # kept of an answer: what a replay takes
     assert set(spark.read.parquet(os.path.join(out, "answers")).columns) == {"session_id", "seq", "code", "value", "number", "batch"}
+
+
+def test_session_state_is_kept_on_disk(spark, tmp_path):
+    """T2 folds several batches through a state store whose memory is bounded; an answer keeps a section of its own."""
+    own = [("s9", 1, "my section", "submit", REQUIRED[0], "40"), ("s9", 2, None, "submit", REQUIRED[1], "40"), ("s9", 3, "optional", "restart", None, None)]
+    batches = [BATCHES[0] + own, *BATCHES[1:]]
+    folder = files(spark, str(tmp_path / "in"), batches)
+    out = scratch_path(spark, "state-test")
+    store = st._STORE + "providerClass"
+    before = spark.conf.get(store)
+    with st.disk_state(spark):
+        answers = st.validate_stream(st.file_stream(spark, folder, ik.ANSWER_SCHEMA, max_files=1))
+        st.run_to_parquet(st.session_stream(answers), out, "update", "t2state")
+    assert spark.conf.get(store) == before
+    kept = [x for _, _, names in os.walk(os.path.join(out, "checkpoint", "state")) for x in names]
+    assert any(x.endswith(".zip") for x in kept) and not any(x.endswith(".delta") for x in kept)  # RocksDB's files, not those of a map on the heap
+
+    key = lambda r: (r.session_id, r.field)
+    got = {key(r): (r.section, r.value, r.number, r.seq) for r in st.fold_session_output(st.read_latest(spark, out, ["session_id", "field"])).collect()}
+    every = spark.createDataFrame([r for b in batches for r in b], ik.ANSWER_SCHEMA)
+    want = {key(r): (r.section, r.value, r.number, r.seq) for r in ik.session_state(ik.validate(every), gate_optional=False).collect()}
+    assert got.pop(("s9", REQUIRED[0]), (None,))[0] == ("my section" if want.pop(("s9", REQUIRED[0]), None) else None)
+    assert got == want and any(k[0] == "s1" for k in want)
