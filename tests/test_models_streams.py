@@ -162,7 +162,7 @@ def test_boosting_reads_few_partitions_and_one_order(spark, train, monkeypatch):
 
 
 def test_fits_start_from_files(spark):
-    """Training rows come from files once: the jobs of a fit plan nothing of the feature table."""
+    """Training rows come from a checkpoint: the jobs of a fit plan nothing of the feature table."""
     from wardflow.plans import q_models as QM
 
     rows = [(i, "abc"[i % 3], i % 2, [float(i), 1.0]) for i in range(12)]
@@ -172,5 +172,5 @@ def test_fits_start_from_files(spark):
         patch.setattr(QM.SI, "event_outcomes", lambda *a: made.select("record_id", "label"))
         data = QM._training(spark, "")
     plan = data._jdf.queryExecution().executedPlan().toString()
-    assert "FileScan parquet" in plan and "Exchange" not in plan and "Join" not in plan
+    assert "Scan ExistingRDD" in plan and "InMemory" not in plan and "Exchange" not in plan and "Join" not in plan
     assert sorted((r.record_id, r.split, r.label, r.features.toArray().tolist()) for r in data.collect()) == [tuple(r) for r in rows]

@@ -68,12 +68,13 @@ def sequences(spark, sf_dir):
 
 
 def _training(spark, sf_dir):
-    """Scaled vectors with labels, per split (a = train, b = test, c = validation), in the shared folder.
+    """Scaled vectors with labels, per split (a = train, b = test, c = validation), in the checkpoint folder.
 
-    Fits and scores start from the files: their hundreds of jobs plan nothing of the feature table.
+    Fits and scores start from there: their hundreds of jobs plan nothing of the feature table. A checkpoint
+    keeps rows in their places, by which the MLP adds up its gradients.
     """
     v = _vectors(spark, sf_dir, rounded_values=False).join(SI.event_outcomes(spark, sf_dir), "record_id", "inner")
-    return cut(mo.with_vector(v).select("record_id", "split", "label", "features"), "training")
+    return mo.with_vector(v).select("record_id", "split", "label", "features").persist(StorageLevel.MEMORY_AND_DISK).checkpoint()
 
 
 def _gbt_monitored(spark, sf_dir):
